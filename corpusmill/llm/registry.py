@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, chat, exact_dedup, fixity, packing, quality, secrets, sharding
+from corpusmill.llm import bpe, chat, exact_dedup, fixity, packing, passages, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,9 +53,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(_table(spark, sf_dir, "documents"), returns=("kept_sha256",))
+
+
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op1_jump_shards, op2_secret_scan, op3_bpe_codec, op4_quality_rules, op5_merkle_fixity, op7_exact_dedup, op8_chat_parts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_secret_scan, op3_bpe_codec, op4_quality_rules, op5_merkle_fixity, op7_exact_dedup, op8_chat_parts, op9_best_fit_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -65,4 +69,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_merkle_fixity": fixity.FIXITY_SQL,
         "op7_exact_dedup": exact_dedup.DEDUP_SQL,
         "op8_chat_parts": chat.CHAT_SQL,
+        "op10_substring_dedup": passages.PASSAGES_SQL,
     }
