@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, chat, exact_dedup, fixity, packing, passages, quality, secrets, sharding
+from corpusmill.llm import bpe, chat, exact_dedup, fixity, jaccard, packing, passages, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(pages, fixity.damaged_copy(pages))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op1_jump_shards, op2_secret_scan, op3_bpe_codec, op4_quality_rules, op5_merkle_fixity, op7_exact_dedup, op8_chat_parts, op9_best_fit_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_secret_scan, op3_bpe_codec, op4_quality_rules, op5_merkle_fixity, op6_jaccard_join, op7_exact_dedup, op8_chat_parts, op9_best_fit_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
