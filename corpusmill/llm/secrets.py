@@ -59,7 +59,7 @@ def entropy_spans(run: str, rule: CharacterClass) -> list[tuple[int, int]]:
     size = rule.window
     if len(run) < size:
         return []
-    weight = [0.0] + [c * math.log2(c) for c in range(1, size + 1)]
+    weight = [0.0] + [c * math.log2(c) for c in range(1, size + 2)]
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     member = {c: tuple(c in need for need in rule.needs) for c in set(run)}
