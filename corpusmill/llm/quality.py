@@ -95,7 +95,10 @@ def score_quality(docs: DataFrame, min_words: int = 50, max_class_distance: floa
     df = df.withColumn("word_distance", F.when(F.col("n_words") >= min_histogram_words, F.round(js_distance(histogram, reference), 9)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
-    return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near).select(*(c for c in docs.columns if c not in made), *made)
+    df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near)
+    # one row in, one row out: filters on the results stay above this and don't copy the expressions below it
+    others = [c for c in docs.columns if c not in made]
+    return df.select(*others, F.explode(F.array(F.struct(*made))).alias("_made")).select(*others, *(F.col(f"_made.{c}").alias(c) for c in made))
 
 
 QUALITY_SQL = r"""
