@@ -23,6 +23,8 @@ def _state_settings(spark: SparkSession):
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # many stores with little in each: room is taken as it is needed
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -15,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.llm.bpe import byte_symbols
 from corpusmill.llm.common import written
 
 #: Entries of each worker's chunk cache, and characters worked on at once.
 CACHE_ENTRIES, CACHE_LENGTH, SLICE_CHARS = 300_000, 64, 1_000_000
+# Fixed value: the splitting pattern of byte-level BPE files whose pre-tokenizer is ByteLevel with use_regex.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A blank next to white space; without one, every blank starts a chunk that is encoded alike wherever it stands.
 UNSAFE = re.compile(r" \s|\s |^ ")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -175,37 +179,61 @@ class ChunkEncoder:
     """Token ids as the tokenizers library gives them, with what recurs between blanks encoded once.
 
     The splitting pattern starts a new piece at every blank that stands between two other
-    characters, so the ids of a text are those of its chunks in a row; the library encodes the
-    chunks that the bounded cache lacks, a batch at a time.
+    characters, so the ids of a text are those of its chunks in a row. What the bounded cache lacks
+    is encoded as one text a batch, by the merges of the same file, and cut where tokens start with
+    a blank. Texts with special tokens in them go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[str, bytes] = {}
-
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(chunks, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        byte_of = {c: b for b, c in byte_symbols().items()}
+        vocabulary = {bytes(byte_of[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
+        self.merges = tiktoken.Encoding("merges", pat_str=PIECES, mergeable_ranks=vocabulary, special_tokens={})
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for s, i in vocabulary.items() if s.startswith(b" ")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.merges.encode_ordinary(text), dtype="<u4")
+
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, each with the blank before it."""
+        plain = [c for c in chunks if len(c.split()) == 1 and not c[0].isspace() and not c[-1].isspace()]
+        ids = self._ids(" " + " ".join(plain)) if plain else np.empty(0, dtype="<u4")
+        starts = np.flatnonzero(self.opens[ids]).tolist()
+        if len(starts) != len(plain):
+            return {c: self._ids(" " + c).tobytes() for c in chunks}
+        raw, ends = ids.tobytes(), [*starts[1:], len(ids)]
+        found = {c: raw[4 * a : 4 * b] for c, a, b in zip(plain, starts, ends, strict=False)} if plain else {}
+        return found | {c: self._ids(" " + c).tobytes() for c in chunks if c not in found}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        split = [(SAFE_CUT.split(t) if UNSAFE.search(t) else t.split(" ")) if t else [] for t in texts]
-        missing = list({c for chunks in split for c in chunks[1:]} - self.cache.keys())
-        found = dict(zip(missing, self._encoded([" " + c for c in missing]), strict=True))
-        heads = iter(self._encoded([chunks[0] for chunks in split if chunks]))
-        cache = self.cache
+        if len(self.young) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        whole = [any(s in t for s in self.special) for t in texts]
+        split = [[] if w or not t else SAFE_CUT.split(t) if UNSAFE.search(t) else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        wanted = {c for chunks in split for c in chunks[1:]}
+        known = {c: ids for c in wanted if (ids := self.young.get(c) or self.old.get(c)) is not None}
+        found = self._chunks(list(wanted - known.keys()))
+        known |= found
         out = []
-        for chunks in split:
-            parts = [next(heads)] if chunks else []
-            parts += [cache[c] if c in cache else found[c] for c in chunks[1:]]
-            out.append(b"".join(parts))
-        cache.update((c, ids) for c, ids in found.items() if len(c) <= CACHE_LENGTH)
+        for text, w, chunks in zip(texts, whole, split, strict=True):
+            if w:
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+            else:
+                out.append(self._ids(chunks[0]).tobytes() + b"".join(map(known.__getitem__, chunks[1:])) if chunks else b"")
+        self.young.update((c, ids) for c, ids in known.items() if len(c) <= CACHE_LENGTH)
         return out
 
 
@@ -272,7 +300,7 @@ def place(numbered: DataFrame, plan: dict[int, list[Interval]]) -> DataFrame:
     return numbered.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, buckets: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, buckets: int = 64) -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens; one row per piece.
 
     Texts are encoded once and only small rows are shuffled. What reaches the driver is the
