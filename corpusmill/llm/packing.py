@@ -9,6 +9,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -237,6 +238,12 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> ChunkEncoder:
+    """The encoder of a Python worker: loaded once, its bounded cache serves all tasks that the worker runs."""
+    return ChunkEncoder(path)
+
+
 def _slices(texts: list[str | None]) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
@@ -257,7 +264,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) ->
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             at = 0
@@ -309,7 +316,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     Null and empty texts are a piece of the end token alone; repeated rows are packed each; an
     empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     pieces = written(tokenized_pieces(docs, path, capacity, end_id).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
     counts = written(pieces.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
@@ -320,5 +326,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     ranked = pieces.withColumn("_at", F.row_number().over(within) - 1)
     # capacity * buckets rows at most
     numbered = ranked.join(F.broadcast(starts), ["length", "_bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_start") + F.col("_at")).alias("_rank"))
-    assert spark is numbered.sparkSession
     return place(numbered, plan)
