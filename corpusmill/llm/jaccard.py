@@ -127,9 +127,10 @@ def candidate_regions(nodes: DataFrame, rule: Rule) -> DataFrame:
     and go. A cell's pivot is its member that has most company over all its cells, which in a group
     of near copies is the one nearest to the common text, so most cells of a group have one pivot.
     """
-    cells = nodes.select("node", F.explode("cells").alias("cell"))
-    counted = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(cells.join(counted, "cell"), "cells")
+    # one shuffle of the cells serves both the count and the join: both sides read the same columns of it
+    cells = nodes.select("node", F.explode("cells").alias("cell")).repartition("cell")
+    counted = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_first"), F.max("node").alias("_last")).filter("_first < _last")
+    shared = written(cells.join(counted.select("cell", "n"), "cell"), "cells")
     busy = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_cells"), F.sum("n").alias("score")).filter(F.col("_cells") > rule.spare)
     scored = shared.select("node", "cell").join(busy.select("node", "score"), "node")
     pivots = scored.groupBy("cell").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", (-F.col("best.minus")).alias("pivot"))
