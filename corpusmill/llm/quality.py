@@ -48,15 +48,15 @@ def with_repeats(df: DataFrame) -> DataFrame:
     """
     at = F.lit((1 << POSITION_BITS) - 1).cast("long")
     key = lambda v: F.shiftright(v, POSITION_BITS)
-    beside = lambda a, i, f: (f(F.get(a, i - 1)) == f(F.get(a, i))) | (f(F.get(a, i + 1)) == f(F.get(a, i)))
+    twins = lambda a, f: F.flatten(F.filter(F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), lambda x, y: F.when(f(x) == f(y), F.array(x, y))), lambda v: v.isNotNull()))
     w = F.col("_w")
     packed = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.shiftleft(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), POSITION_BITS).bitwiseOR(i.cast("long")))
     df = df.withColumn("_keys", F.sort_array(packed))
-    df = df.withColumn("_maybe", F.filter("_keys", lambda v, i: beside(F.col("_keys"), i, key)))
+    df = df.withColumn("_maybe", F.array_distinct(twins(F.col("_keys"), key)))
     at_of = lambda v: v.bitwiseAND(at).cast("int")
     text = lambda v: F.concat_ws(" ", F.get(w, at_of(v)), F.get(w, at_of(v) + 1), F.get(w, at_of(v) + 2))
     df = df.withColumn("_same", F.sort_array(F.transform("_maybe", lambda v: F.struct(text(v).alias("t"), at_of(v).alias("i")))))
-    sure = F.filter("_same", lambda v, i: beside(F.col("_same"), i, lambda x: x["t"]))
+    sure = twins(F.col("_same"), lambda x: x["t"])
     covered = F.array_distinct(F.flatten(F.transform(sure, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return df.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("_keys", "_maybe", "_same")
 
@@ -74,11 +74,12 @@ def score_quality(docs: DataFrame, min_words: int = 50, max_class_distance: floa
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     df = docs.drop(*made).withColumn("_lang", lang).withColumn("_t", body()).withColumn("_w", words(F.col("_t")))
-    df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("word_chars", _left(F.col("_t"), r"[\x20\x09-\x0D]+").cast("long"))
-    df = df.withColumn("_n", F.char_length("_t")).withColumn("n_symbols", (F.col("_n") - _left(F.col("_t"), r"[#*$%&|<>]+")).cast("long"))
+    df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("long")).withColumn("_n", F.char_length("_t"))
+    # what is neither letter nor separator: a small part of a text, in which all other classes are counted
+    df = df.withColumn("_odd", F.regexp_replace("_t", r"[\p{L}\x20\x09-\x0D]+", "")).withColumn("n_symbols", (F.char_length("_odd") - _left(F.col("_odd"), r"[#*$%&|<>]+")).cast("long"))
     df = df.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = with_repeats(df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines"))
-    df = df.withColumn("_letters", _left(F.col("_t"), r"\P{L}+")).withColumn("_digits", _left(F.col("_t"), "[^0-9]+")).withColumn("_points", _left(F.col("_t"), r"""[^.,;:!?'"()\-]+"""))
+    df = df.withColumn("_letters", F.col("word_chars") - F.char_length("_odd")).withColumn("_digits", _left(F.col("_odd"), "[^0-9]+")).withColumn("_points", _left(F.col("_odd"), r"""[^.,;:!?'"()\-]+"""))
     spaces = F.col("_n") - F.col("word_chars")
     classes = F.array(*(c.cast("double") for c in (F.col("_letters"), spaces, F.col("_digits"), F.col("_points"), F.col("word_chars") - F.col("_letters") - F.col("_digits") - F.col("_points"))))
     df = df.withColumn("class_distance", F.when(F.col("_n") >= min_class_chars, F.round(js_distance(classes, F.array(*map(F.lit, CLASS_SHARES))), 9)))
@@ -88,8 +89,8 @@ def score_quality(docs: DataFrame, min_words: int = 50, max_class_distance: floa
         return reduce(lambda c, k: c.when(F.col("_lang") == k, value(k)), rest, F.when(F.col("_lang") == first, value(first)))
 
     listed = by_language(lambda k: F.array(*map(F.lit, COMMON_WORDS[k])))
-    df = df.withColumn("_listed", listed).withColumn("_hits", F.filter("_w", lambda x: F.array_contains("_listed", x)))
-    df = df.withColumn("_found", F.transform("_listed", lambda r: F.size(F.filter("_hits", lambda x: x == r)).cast("double")))
+    df = df.withColumn("_listed", listed).withColumn("_hits", by_language(lambda k: F.filter("_w", lambda x: x.isin(*COMMON_WORDS[k]))))
+    df = df.withColumn("_found", F.transform("_listed", lambda r: (F.size("_hits") - F.size(F.array_remove("_hits", r))).cast("double")))
     reference = by_language(lambda k: F.array(*(F.lit(float(v)) for v in [*COMMON_WORDS[k].values(), 1000 - sum(COMMON_WORDS[k].values())])))
     histogram = F.concat("_found", F.array((F.col("n_words") - F.size("_hits")).cast("double")))
     df = df.withColumn("word_distance", F.when(F.col("n_words") >= min_histogram_words, F.round(js_distance(histogram, reference), 9)))
