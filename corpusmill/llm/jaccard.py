@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.llm.common import body, written
 from corpusmill.llm.components import connected_components
@@ -31,7 +32,8 @@ class Rule:
     gram: int = 3
     num: int = 90
     den: int = 100
-    #: Classes that linked sets share beyond the first; more of them let fewer strangers meet.
+    #: Equal classes that linked sets have beyond the first: this many, and half as many as may differ.
+    #: More of them make more and smaller parts, but tell strangers with a common passage from near copies.
     spare: int = 3
 
     @property
@@ -55,8 +57,8 @@ def words_of(text: str) -> list[bytes]:
 
 
 @lru_cache(maxsize=8)
-def size_buckets(rule: Rule) -> list[tuple[int, int, int]]:
-    """(least size, greatest size, classes) of the size regions, each half as large again as the one before.
+def size_buckets(rule: Rule) -> list[tuple[int, int, int, int]]:
+    """(least size, greatest size, classes, spare classes) of the size regions, each half as large again as the one before.
 
     Sets that link differ in at most (a + b)(den - num) / (den + num) elements, so of one class
     more than that, a pair has an equal class at least. Sets so small that this bound is 0 link only when equal.
@@ -65,21 +67,26 @@ def size_buckets(rule: Rule) -> list[tuple[int, int, int]]:
     low, out = next(s for s in range(1, 1 << 20) if bound(s + s * rule.den // rule.num) >= 1), []
     while low < 1 << 31:
         high = max(low + 1, low * 3 // 2)
-        out.append((low, high - 1, bound(high - 1 + (high - 1) * rule.den // rule.num) + 1 + rule.spare))
+        differ = bound(high - 1 + (high - 1) * rule.den // rule.num)
+        spare = rule.spare + differ // 2
+        out.append((low, high - 1, differ + 1 + spare, spare))
         low = high
     return out
 
 
-def cells_of(found: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys of the cells a set falls in: its part in each class of its size region.
+def cells_of(found: np.ndarray, rule: Rule) -> tuple[np.ndarray, int]:
+    """Keys of the cells a set falls in, its part in each class of its size region; a number that the
+    shared cells of any linked pair exceed.
 
     The sizes' own distance, 1 - min/max, never exceeds the Jaccard distance: by the triangle
     inequality a set also belongs to the region below when it lies within the radius of it.
     Empty parts say nothing; only a set with more empty parts than ``spare`` must show them, and
-    then so must every set that links with it through empty parts alone.
+    then so must every set that links with it through empty parts alone. Parts that are empty and
+    not shown come off the number: at least ``spare`` + 1 classes are equal, so many of them at most
+    by emptiness; of a set that shows its empty parts the other may hide up to ``spare``.
     """
-    n, keys = len(found), []
-    for at, (low, high, classes) in enumerate(size_buckets(rule)):
+    n, keys, least = len(found), [], None
+    for at, (low, high, classes, spare) in enumerate(size_buckets(rule)):
         if n < low:
             break
         if n > high and n * rule.num > high * rule.den:
@@ -92,49 +99,60 @@ def cells_of(found: np.ndarray, rule: Rule) -> np.ndarray:
         starts = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]])
         sums = np.add.reduceat(scattered[order], starts)
         keys.append(mixed(mixed(sums + seed) + sorted_part[starts]))
-        if classes - len(starts) > rule.spare:
+        hidden = classes - len(starts)
+        need = max(0, spare - hidden)
+        least = need if least is None else min(least, need)
+        if hidden > spare:
             empty = np.setdiff1d(np.arange(classes, dtype=np.uint64), sorted_part[starts])
             keys.append(mixed(mixed(np.uint64(7) + seed + empty) + empty))
-    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, dtype=np.int64)
+    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, dtype=np.int64), least or 0
 
 
 def _sets(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, _file, _row, n, s1, s2, cells): size, 128-bit digest and cells of each row's set."""
+    """(doc_id, _file, _row, n, s1, s2, cells, need): size, 128-bit digest and cells of each row's set, and what ``cells_of`` says of them."""
     kept = rows.select("doc_id", "_file", "_row", body().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            sizes, first, second, cells = [], [], [], []
+            sizes, first, second, cells, needs = [], [], [], [], []
             for text in batch.column("text"):
                 found = shingles(words_of(text.as_py()), hasher, rule.gram)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 sizes.append(len(found))
                 first.append(int.from_bytes(digest[:8], "little", signed=True))
                 second.append(int.from_bytes(digest[8:], "little", signed=True))
-                cells.append(cells_of(found, rule))
-            made = [pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_file", "_row")), *made], names=["doc_id", "_file", "_row", "n", "s1", "s2", "cells"])
+                keys, need = cells_of(found, rule)
+                cells.append(keys)
+                needs.append(need)
+            made = [pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(needs, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_file", "_row")), *made], names=["doc_id", "_file", "_row", "n", "s1", "s2", "cells", "need"])
 
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, _file string, _row long, n long, s1 long, s2 long, cells array<long>")
+    return kept.mapInArrow(run, f"doc_id {kind}, _file string, _row long, n long, s1 long, s2 long, cells array<long>, need int")
 
 
-def candidate_regions(nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(pivot, node): every node with the pivots of its shared cells. Linked nodes have a pivot in common.
+def candidate_regions(nodes: DataFrame) -> DataFrame:
+    """(pivot, node): nodes with the pivots of their shared cells. Linked nodes have a pivot in common.
 
-    Linked sets share more than ``spare`` cells, so nodes with fewer shared cells link with nothing
-    and go. A cell's pivot is its member that has most company over all its cells, which in a group
-    of near copies is the one nearest to the common text, so most cells of a group have one pivot.
+    Linked nodes share more than ``need`` cells of either, so a node with no more shared cells links
+    with nothing and goes. A cell's pivot is its member that has most company over all its cells,
+    which in a group of near copies is the one nearest to the common text, so most cells of a group
+    have one pivot. A node leaves the regions that hold fewest of its cells while those it leaves sum
+    to half its ``need`` at most: two linked nodes leave no more than the greater ``need`` together,
+    so a cell that they share keeps both. Passages common to many texts so cost little.
     """
     # one shuffle of the cells serves both the count and the join: both sides read the same columns of it
     cells = nodes.select("node", F.explode("cells").alias("cell")).repartition("cell")
     counted = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_first"), F.max("node").alias("_last")).filter("_first < _last")
     shared = written(cells.join(counted.select("cell", "n"), "cell"), "cells")
-    busy = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_cells"), F.sum("n").alias("score")).filter(F.col("_cells") > rule.spare)
-    scored = shared.select("node", "cell").join(busy.select("node", "score"), "node")
+    company = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_cells"), F.sum("n").alias("score"))
+    busy = company.join(nodes.select("node", "need"), "node").filter("_cells > need").select("node", "score", "need")
+    scored = shared.select("node", "cell").join(busy, "node")
     pivots = scored.groupBy("cell").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", (-F.col("best.minus")).alias("pivot"))
-    return scored.join(pivots, "cell").filter("pivot <> node").select("pivot", "node").distinct()
+    held = scored.join(pivots, "cell").filter("pivot <> node").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("held"), F.first("need").alias("need"))
+    fewest = Window.partitionBy("node").orderBy("held", "pivot").rowsBetween(Window.unboundedPreceding, 0)
+    return held.withColumn("left", F.sum("held").over(fewest)).filter("left > floor(need / 2)").select("pivot", "node")
 
 
 def _measured(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -232,8 +250,8 @@ def link_documents(rows: DataFrame, rule: Rule) -> DataFrame:
     classes = table.select(*class_key, "id").groupBy("s1", "s2", "alone").agg(F.min("id").alias("node"))
     member = table.select("doc_id", "_file", "_row", "n", "id", *class_key).alias("t").join(classes.alias("c"), (F.col("t.s1") == F.col("c.s1")) & (F.col("t.s2") == F.col("c.s2")) & F.col("t.alone").eqNullSafe(F.col("c.alone")))
     member = written(member.select("t.doc_id", "_file", "_row", "n", "id", "node"), "members")
-    nodes = table.filter("size(cells) > 0").groupBy("s1", "s2").agg(F.min_by("cells", "id").alias("cells"), F.min("id").alias("node")).select("node", "cells")
-    regions = written(candidate_regions(nodes, rule), "regions")
+    nodes = table.filter("size(cells) > 0").groupBy("s1", "s2").agg(F.min_by("cells", "id").alias("cells"), F.min("need").alias("need"), F.min("id").alias("node")).select("node", "cells", "need")
+    regions = written(candidate_regions(nodes), "regions")
     wanted = written(regions.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(member.filter("id = node").select("node", "_file", "_row"), "node"), "wanted")
     small = wanted.count() <= BROADCAST_NODES
     texts = written(rows.select("_file", "_row", body().alias("text")).join(F.broadcast(wanted) if small else wanted, ["_file", "_row"]).select("node", "text"), "candidates")
