@@ -21,7 +21,7 @@ from corpusmill.llm.bpe import byte_symbols
 from corpusmill.llm.common import written
 
 #: Entries of each worker's chunk cache, and characters worked on at once.
-CACHE_ENTRIES, CACHE_LENGTH, SLICE_CHARS = 300_000, 64, 1_000_000
+CACHE_ENTRIES, CACHE_LENGTH, SLICE_CHARS = 100_000, 64, 1_000_000
 # Fixed value: the splitting pattern of byte-level BPE files whose pre-tokenizer is ByteLevel with use_regex.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A blank next to white space; without one, every blank starts a chunk that is encoded alike wherever it stands.
