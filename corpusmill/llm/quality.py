@@ -22,14 +22,14 @@ CLASS_SHARES = (0.80, 0.165, 0.005, 0.03, 0.0)
 POSITION_BITS = 30
 
 
-def js_distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of non-negative numbers; null when either sums to 0."""
+def js_distance(counts: Column, reference: Column, n: Column | None = None, m: Column | None = None) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of non-negative numbers; null when either sums to 0. ``n`` and ``m`` are the sums, where known."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
     def half(p: Column, m: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m) / 2).otherwise(0.0)
 
-    n, m = F.nullif(total(counts), F.lit(0.0)), F.nullif(total(reference), F.lit(0.0))
+    n, m = (F.nullif(total(a) if known is None else known, F.lit(0.0)) for a, known in ((counts, n), (reference, m)))
     terms = F.zip_with(counts, reference, lambda a, b: half(a / n, (a / n + b / m) / 2) + half(b / m, (a / n + b / m) / 2))
     return F.sqrt(F.greatest(total(terms), F.lit(0.0)))
 
@@ -61,7 +61,7 @@ def with_repeats(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("_keys", "_maybe", "_same")
 
 
-def score_quality(docs: DataFrame, min_words: int = 50, max_class_distance: float = 0.2, max_word_distance: float = 0.5, min_class_chars: int = 100, min_histogram_words: int = 50) -> DataFrame:
+def score_quality(docs: DataFrame, min_words: int = 50, max_class_distance: float = 0.2, max_word_distance: float = 0.5, min_class_chars: int = 100, min_histogram_words: int = 50, max_common_distance: float = 0.8, min_common_words: int = 200) -> DataFrame:
     """Adds the measures, ``base_failed`` and ``kept`` to every document; a projection without shuffle.
 
     The base rule fails texts under ``min_words`` words and texts more than half of whose words lie
@@ -69,9 +69,14 @@ def score_quality(docs: DataFrame, min_words: int = 50, max_class_distance: floa
     counts of common words of its language, lie further from the reference than allowed. A distance
     counts only from ``min_class_chars`` characters, or ``min_histogram_words`` words, on; a null or
     unknown language has no word distance. Null text reads as empty and fails the base rule.
+
+    Most words of any text are none of the common ones, so even a text without them stays within
+    ``max_word_distance``. Therefore ``common_distance`` compares the common words among themselves,
+    1 where there is none. It rejects texts of ``min_common_words`` words or more that lie further than
+    ``max_common_distance``, and from half as many words on those without a single common word.
     Columns with the names of results are replaced; others pass through.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "common_distance", "base_failed", "kept"]
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     df = docs.drop(*made).withColumn("_lang", lang).withColumn("_t", body()).withColumn("_w", words(F.col("_t")))
     df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("long")).withColumn("_n", F.char_length("_t"))
@@ -93,9 +98,16 @@ def score_quality(docs: DataFrame, min_words: int = 50, max_class_distance: floa
     df = df.withColumn("_found", F.transform("_listed", lambda r: (F.size("_hits") - F.size(F.array_remove("_hits", r))).cast("double")))
     reference = by_language(lambda k: F.array(*(F.lit(float(v)) for v in [*COMMON_WORDS[k].values(), 1000 - sum(COMMON_WORDS[k].values())])))
     histogram = F.concat("_found", F.array((F.col("n_words") - F.size("_hits")).cast("double")))
-    df = df.withColumn("word_distance", F.when(F.col("n_words") >= min_histogram_words, F.round(js_distance(histogram, reference), 9)))
+    df = df.withColumn("word_distance", F.when(F.col("n_words") >= min_histogram_words, F.round(js_distance(histogram, reference, F.col("n_words").cast("double"), F.lit(1000.0)), 9)))
+    n_hits = F.size("_hits").cast("double")
+    shares = by_language(lambda k: F.array(*(F.lit(float(v)) for v in COMMON_WORDS[k].values())))
+    n_shares = by_language(lambda k: F.lit(float(sum(COMMON_WORDS[k].values()))))
+    common = F.when(n_hits == 0, 1.0).otherwise(F.round(js_distance(F.col("_found"), shares, n_hits, n_shares), 9))
+    df = df.withColumn("common_distance", F.when(F.col("_listed").isNotNull() & (2 * F.col("n_words") >= min_common_words), common))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
+    strange = F.when(F.col("n_words") >= min_common_words, F.col("common_distance") > max_common_distance).otherwise(n_hits == 0)
+    near = near & ~F.when(F.col("common_distance").isNotNull(), strange).otherwise(False)
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near)
     # one row in, one row out: filters on the results stay above this and don't copy the expressions below it
     others = [c for c in docs.columns if c not in made]

@@ -229,6 +229,25 @@ def test_quality_rejects_symbols_and_keeps_prose(spark):
     assert kept == {1: True, 2: False, 3: True}
 
 
+def test_quality_rejects_texts_without_the_common_words_of_their_language(spark):
+    """Letters and blanks are in the usual shares, nothing repeats: only the histogram of common words can tell."""
+    rng = random.Random(4)
+    rare = lambda n: ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(4, 7))) for _ in range(n)]
+
+    def text(lang, n):
+        common = quality.COMMON_WORDS.get(lang, {})
+        w = rare(n) if not common else [rng.choices([*common, None], [*common.values(), 1000 - sum(common.values())])[0] or rare(1)[0] for _ in range(n)]
+        return " ".join(w) + "."
+
+    cases = [(lang, lang, n, True) for lang in quality.COMMON_WORDS for n in (60, 100, 200, 600)]
+    cases += [(None, lang, n, n < 100) for lang in quality.COMMON_WORDS for n in (60, 120, 300)]
+    cases += [("en", lang, 600, False) for lang in ("de", "fr", "es")] + [("de", "en", 600, False), ("de", "es", 600, False), (None, None, 300, True), (None, "xx", 300, True)]
+    rows = [(i, text(of, n), lang) for i, (of, lang, n, _) in enumerate(cases)]
+    got = {r.doc_id: r for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed or r.class_distance > 0.2 or (r.word_distance or 0) > 0.5 for r in got.values())
+    assert {i: got[i].kept for i in got} == {i: c[3] for i, c in enumerate(cases)}
+
+
 # fixity
 
 
