@@ -13,7 +13,22 @@ def query_metrics(hits: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
     """
     wanted = labels.select("query_id", "chunk_id").distinct()
     need = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    right = hits.join(wanted, ["query_id", "chunk_id"], "left_semi")
+    return _metrics(need, hits.join(wanted, ["query_id", "chunk_id"], "left_semi"), k)
+
+
+def label_metrics(hits: DataFrame, asked: DataFrame, labelled: DataFrame, k: int = 10) -> DataFrame:
+    """``query_metrics`` where the chunks of a query's label are the relevant ones: ``asked`` (query_id, label), ``labelled`` (chunk_id, label).
+
+    A chunk and a query have one label each. Labels are counted and hits looked up, so pairs of a query and a relevant chunk are never formed.
+    """
+    asked, labelled = asked.select("query_id", "label").distinct(), labelled.select("chunk_id", "label").distinct()
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    right = hits.join(asked, "query_id").join(labelled, ["chunk_id", "label"], "left_semi")
+    return _metrics(asked.join(sizes, "label").select("query_id", "n"), right, k)
+
+
+def _metrics(need: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """The metrics from how many chunks each query needs (query_id, n) and its relevant hits (query_id, rank)."""
     close = F.col("rank") <= k
     found = right.groupBy("query_id").agg(
         F.sum(F.when(close, 1).otherwise(0)).alias("hit"),

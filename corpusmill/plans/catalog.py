@@ -126,8 +126,7 @@ SELECT query_id, round(coalesce(hit, 0) / n, 6) AS recall, round(coalesce(hit, 0
 round(coalesce(gain / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM need LEFT JOIN found USING (query_id)""")
 def eval_metrics(spark, sf_dir):
     asked, vectors = _vector_queries(spark, sf_dir), _vectors(spark, sf_dir)
-    labels = asked.select("query_id", "label").join(vectors.select("chunk_id", "label"), "label")
-    return evaluation.query_metrics(retrieval.knn(asked, vectors), labels)
+    return evaluation.label_metrics(retrieval.knn(asked, vectors), asked, vectors)
 
 
 @query("SELECT doc_id FROM documents WHERE source LIKE 's%' AND lang = 'en'")
