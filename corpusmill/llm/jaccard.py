@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: pivots, regions, triangle-inequality windows, recursion; exact."""
+"""N-gram Jaccard join: partition signatures, pivots, triangle-inequality windows, blocks; exact."""
 
 from __future__ import annotations
 
