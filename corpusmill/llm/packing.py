@@ -5,8 +5,8 @@ from __future__ import annotations
 import bisect
 import json
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -20,13 +20,11 @@ from pyspark.sql.window import Window
 from corpusmill.llm.bpe import byte_symbols
 from corpusmill.llm.common import written
 
-#: Entries of each worker's chunk cache, and characters worked on at once.
-CACHE_ENTRIES, CACHE_LENGTH, SLICE_CHARS = 100_000, 64, 1_000_000
-# Fixed value: the splitting pattern of byte-level BPE files whose pre-tokenizer is ByteLevel with use_regex.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A blank next to white space; without one, every blank starts a chunk that is encoded alike wherever it stands.
-UNSAFE = re.compile(r" \s|\s |^ ")
-SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces that one task numbers at most on average, of those of one length.
+BUCKET_ROWS = 200_000
+# Fixed value: the splitting pattern of byte-level BPE files whose pre-tokenizer is ByteLevel with use_regex, with
+# possessive repeats: a run that is taken whole never has to be given back.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 @dataclass
@@ -89,7 +87,7 @@ def reduce_instance(left: dict[int, int], capacity: int) -> list[tuple[list[int]
                 fix([j], left[j])
             elif two is None or two > room:
                 k = fits[-1]
-                fix([j, k], left[j] // 2 if k == j else 1 if left[k] < 1 else min(left[j], left[k]))
+                fix([j, k], left[j] // 2 if k == j else min(left[j], left[k]))
             elif three is None or three > room:
                 a = fits[-1]
                 seconds = [s for s in fits if s <= room - a and left[s] > (s == a) + (s == j)]
@@ -176,13 +174,10 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> tuple[dict[int,
     return plan, sequence, n_fixed
 
 
-class ChunkEncoder:
-    """Token ids as the tokenizers library gives them, with what recurs between blanks encoded once.
+class ByteEncoder:
+    """Token ids as the tokenizers library gives them, by the merges of the same file.
 
-    The splitting pattern starts a new piece at every blank that stands between two other
-    characters, so the ids of a text are those of its chunks in a row. What the bounded cache lacks
-    is encoded as one text a batch, by the merges of the same file, and cut where tokens start with
-    a blank. Texts with special tokens in them go to the library whole.
+    Texts with a special token in them go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -199,62 +194,19 @@ class ChunkEncoder:
         byte_of = {c: b for b, c in byte_symbols().items()}
         vocabulary = {bytes(byte_of[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
         self.merges = tiktoken.Encoding("merges", pat_str=PIECES, mergeable_ranks=vocabulary, special_tokens={})
-        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.opens[[i for s, i in vocabulary.items() if s.startswith(b" ")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.merges.encode_ordinary(text), dtype="<u4")
-
-    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, each with the blank before it."""
-        plain = [c for c in chunks if len(c.split()) == 1 and not c[0].isspace() and not c[-1].isspace()]
-        ids = self._ids(" " + " ".join(plain)) if plain else np.empty(0, dtype="<u4")
-        starts = np.flatnonzero(self.opens[ids]).tolist()
-        if len(starts) != len(plain):
-            return {c: self._ids(" " + c).tobytes() for c in chunks}
-        raw, ends = ids.tobytes(), [*starts[1:], len(ids)]
-        found = {c: raw[4 * a : 4 * b] for c, a, b in zip(plain, starts, ends, strict=False)} if plain else {}
-        return found | {c: self._ids(" " + c).tobytes() for c in chunks if c not in found}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.young) > CACHE_ENTRIES:
-            self.young, self.old = {}, self.young
-        whole = [any(s in t for s in self.special) for t in texts]
-        split = [[] if w or not t else SAFE_CUT.split(t) if UNSAFE.search(t) else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        wanted = {c for chunks in split for c in chunks[1:]}
-        known = {c: ids for c in wanted if (ids := self.young.get(c) or self.old.get(c)) is not None}
-        found = self._chunks(list(wanted - known.keys()))
-        known |= found
-        out = []
-        for text, w, chunks in zip(texts, whole, split, strict=True):
-            if w:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            else:
-                out.append(self._ids(chunks[0]).tobytes() + b"".join(map(known.__getitem__, chunks[1:])) if chunks else b"")
-        self.young.update((c, ids) for c, ids in known.items() if len(c) <= CACHE_LENGTH)
-        return out
-
 
-@lru_cache(maxsize=1)
-def shared_encoder(path: str) -> ChunkEncoder:
-    """The encoder of a Python worker: loaded once, its bounded cache serves all tasks that the worker runs."""
-    return ChunkEncoder(path)
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers; null reads as empty."""
+        text = text or ""
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.merges.encode_ordinary(text)).tobytes()
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str]]:
-    part: list[str] = []
-    size = 0
-    for text in texts:
-        part.append(text or "")
-        size += len(part[-1])
-        if size >= SLICE_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> ByteEncoder:
+    """The encoder of a Python worker: loaded once, it serves all tasks that the worker runs."""
+    return ByteEncoder(path)
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -266,21 +218,22 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(path)
         for batch in batches:
-            rows: list[tuple] = []
-            at = 0
-            texts = (t.as_py() for t in batch.column("text"))
-            for part in _slices(texts):
-                for ids in encoder.encode_all(part):
-                    doc_id, ids = batch.column("doc_id")[at].as_py(), ids + end
-                    at += 1
-                    n, start, piece = len(ids) // 4, 0, 0
-                    length = n % capacity or capacity
-                    while start < n:
-                        rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                        start, piece, length = start + length, piece + 1, capacity
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            counts, sums = [], []
+            for text in batch.column("text"):
+                ids = encoder.encode(text.as_py()) + end
+                n = len(ids) // 4
+                cuts = range(n % capacity or capacity, n + 1, capacity)
+                counts.append(n)
+                sums += [zlib.crc32(ids[4 * max(0, c - capacity) : 4 * c]) for c in cuts]
+            n = np.array(counts, dtype=np.int64)
+            per = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), per)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+            first = (n % capacity)[row]
+            first[first == 0] = capacity
+            start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+            made = [piece.astype(np.int32), start, np.where(piece == 0, first, capacity), np.array(sums, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *map(pa.array, made)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return kept.mapInArrow(run, schema)
 
@@ -307,16 +260,39 @@ def place(numbered: DataFrame, plan: dict[int, list[Interval]]) -> DataFrame:
     return numbered.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, buckets: int = 64) -> DataFrame:
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: the greatest of Martello and Toth's bounds over all thresholds.
+
+    For a threshold t, items above capacity - t stand alone, those above half take a sequence each,
+    and the items from t to half must go beside those up to capacity - t or into further sequences.
+    """
+    sizes = np.array(sorted(histogram), dtype=np.int64)
+    counts = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
+    best = 0
+    for t in [0, *(int(s) for s in sizes if 2 * s <= capacity)]:
+        alone = int(counts[sizes > capacity - t].sum())
+        large = (sizes <= capacity - t) & (2 * sizes > capacity)
+        small = (sizes >= t) & (2 * sizes <= capacity)
+        n_large = int(counts[large].sum())
+        room = n_large * capacity - int((sizes * counts)[large].sum())
+        best = max(best, alone + n_large + max(0, -(-(int((sizes * counts)[small].sum()) - room) // capacity)))
+    return best
+
+
+def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens; one row per piece.
 
     Texts are encoded once and only small rows are shuffled. What reaches the driver is the
-    histogram of lengths, at most ``capacity`` rows; ranks within a length are counted per
-    (length, bucket of the document), so a length that most pieces share is split over all tasks.
-    Null and empty texts are a piece of the end token alone; repeated rows are packed each; an
-    empty table gives no rows; other columns are not read.
+    histogram of lengths, at most ``capacity`` rows. Ranks within a length are counted per (length,
+    bucket of the document); there are so many buckets that one holds ``bucket_rows`` pieces on
+    average, so a length that most pieces share is split over as many tasks as its pieces need.
+    Null and empty texts are a piece of the end token alone; repeated rows are packed each; null
+    doc_ids stay null; an empty table gives no rows; a very long text is encoded whole, in memory
+    proportional to it; other columns, whatever their names, are not read.
     """
-    pieces = written(tokenized_pieces(docs, path, capacity, end_id).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
+    pieces = written(tokenized_pieces(docs, path, capacity, end_id), "pieces")
+    buckets = max(64, -(-pieces.count() // bucket_rows))
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = written(pieces.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     plan, _, _ = pack_histogram(histogram, capacity)
@@ -324,6 +300,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     starts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("_at", F.row_number().over(within) - 1)
-    # capacity * buckets rows at most
-    numbered = ranked.join(F.broadcast(starts), ["length", "_bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_start") + F.col("_at")).alias("_rank"))
+    # the pieces are dealt by these two columns already, so only the starts move; they are broadcast where Spark finds them small
+    numbered = ranked.join(starts, ["length", "_bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_start") + F.col("_at")).alias("_rank"))
     return place(numbered, plan)
