@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,38 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of a file: projections and filters of a relation, and nothing else."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def located(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows with their locator: ``f``, a 64-bit hash of the file's path, and ``r``, the row in it.
+
+    With ``columns`` these follow by their names (none may be f or r); without, the whole row is packed
+    into the struct ``row``, so that no name can clash. Among a million files the chance that two
+    paths have one hash is 3 in 10**8. Rows that don't come straight from Parquet are written to the shared folder first.
+    """
+    names = docs.columns
+    kept = [F.col(f"`{c}`") for c in columns] if columns else [F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")]
+
+    def read(df: DataFrame) -> DataFrame:
+        where = df.metadataColumn("_metadata")
+        return df.select(F.xxhash64(where["file_path"]).alias("f"), where["row_index"].alias("r"), *kept)
+
+    if _is_scan(docs):
+        try:
+            return read(docs)
+        except AnalysisException:
+            pass
+    path = new_path(docs.sparkSession, "content")
+    docs.write.parquet(path)
+    return read(docs.sparkSession.read.schema(docs.schema).parquet(path))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

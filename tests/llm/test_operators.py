@@ -192,11 +192,21 @@ def test_bpe_equals_the_library(spark, word_file, rows, nothing):
 def test_long_words_merge_alike(word_file):
     codec = bpe.WordBpe(word_file)
     rng = random.Random(3)
-    for _ in range(20):
-        word = "".join(rng.choice("abcdet") for _ in range(120)).encode()
-        parts = [bpe.byte_symbols()[b] for b in word]
-        parts[-1] += codec.end
-        assert [codec.vocabulary[p] for p in codec._merge_long(parts)] == codec.merge(word)
+    words = ["".join(rng.choice("abcdet") for _ in range(rng.randint(1, 128))).encode() for _ in range(200)]
+    flat, count = codec.merge_all(words)
+    ends = np.cumsum(count).tolist()
+    for word, a, b in zip(words, [0, *ends], ends, strict=False):
+        assert codec._merge_long(word).tolist() == flat[a:b].tolist()
+
+
+def test_small_caches_change_nothing(word_file, rows, monkeypatch):
+    """The cache goes through many generations, and slices end within the texts."""
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(bpe, "CACHE_LENGTH", 4)
+    library, codec = Tokenizer.from_file(word_file), bpe.WordBpe(word_file)
+    texts = HARD + [r[1] for r in rows]
+    coded = [c for part in bpe.slices(texts, 50) for c in codec.code_all(part)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in coded] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 # quality
@@ -453,7 +463,7 @@ def test_reduction_keeps_the_optimum():
 def test_packing_documents(docs, rows, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    out = packing.pack_documents(docs, path, capacity=64, buckets=4).collect()
+    out = packing.pack_documents(docs, path, capacity=64, bucket_rows=20).collect()
     want = Counter()
     for r in rows:
         ids = [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]
@@ -475,12 +485,26 @@ def test_packing_documents(docs, rows, nothing):
     assert packing.pack_documents(nothing, path).count() == 0
 
 
-def test_chunks_encode_as_whole_texts():
+def test_byte_encoder_equals_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library, encoder = Tokenizer.from_file(path), packing.ChunkEncoder(path)
-    texts = [*HARD, "  a  b \n c\t d\n\n e ", " <|endoftext|> x", "\x1c a\x1c b", "a\u3000 b \u2028c", "it's  he'll 12 3"]
-    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    library, encoder = Tokenizer.from_file(path), packing.ByteEncoder(path)
+    rng = random.Random(9)
+    texts = [*HARD, "  a  b \n c\t d\n\n e ", " <|endoftext|> x", "\x1c a\x1c b", "a\u3000 b \u2028c", "it's  he'll 12 3", "x \n", " \n \n", "'S 'd 're'x"]
+    texts += ["".join(rng.choice(" \n\t'\u00a0\u3000sdalr1é.€") for _ in range(rng.randint(1, 30))) for _ in range(500)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_lower_bound():
+    rng = random.Random(8)
+    for _ in range(80):
+        items = [rng.randint(1, 20) for _ in range(9)]
+        assert packing.lower_bound(dict(Counter(items)), 20) <= optimum(items, 20)
+    for k in range(40):
+        histogram = dict(Counter(rng.randint(1, 1024) if k % 2 else min(1024, 1 + int(rng.expovariate(1 / 300))) for _ in range(2000)))
+        _, used, _ = packing.pack_histogram(histogram, 1024)
+        assert used <= 1.02 * packing.lower_bound(histogram, 1024) + 1
+    assert packing.lower_bound({}, 1024) == 0
 
 
 # passages
@@ -501,13 +525,40 @@ def brute_passages(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "gram", "salt"), [(13, 8, 1024), (13, 8, 1), (4, 2, 2), (3, 3, 1024)])
-def test_passages(docs, rows, monkeypatch, window, gram, salt):
-    """With few rows a salt, anchors of a few documents are already dealt out."""
+@pytest.mark.parametrize(("window", "gram", "salt", "part"), [(13, 8, 256, 256), (13, 8, 1, 8), (4, 2, 2, 5), (3, 3, 256, 1), (13, 13, 1, 256)])
+def test_passages(docs, rows, monkeypatch, window, gram, salt, part):
+    """With few rows a salt, anchors of a few documents are already dealt out; with short parts, a text's passages are."""
     monkeypatch.setattr(passages, "SALT_ROWS", salt)
+    monkeypatch.setattr(passages, "PART_WORDS", part)
     got = passages.remove_passages(docs, window, gram, returns=("kept_sha256",))
     assert bag(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_passages(rows, window)
 
 
+@pytest.mark.parametrize("salt", [1, 256])
+def test_passages_of_repeated_ids(spark, monkeypatch, salt):
+    """Rows that share a doc_id, null ones too, are judged each on its own text."""
+    monkeypatch.setattr(passages, "SALT_ROWS", salt)
+    say = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    texts = [(1, say("w", 13)), (5, say("w", 13) + " tail"), (5, say("y", 20)), (None, say("w", 13)), (None, say("y", 19) + " z"), (5, None), (None, None), (1, say("w", 13)), (9, say("y", 20) + " " + say("w", 13))]
+    rng = random.Random(2)
+    shared = [prose(rng, 30) for _ in range(4)]
+    texts += [(rng.choice((None, 3, 5, 7, 11)), " ".join([prose(rng, rng.randint(0, 20)), rng.choice(shared), prose(rng, 5)])) for _ in range(80)]
+    got = passages.remove_passages(spark.createDataFrame(texts, "doc_id long, text string"), returns=("kept_sha256",))
+    assert bag(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_passages(texts, 13)
+
+
+def test_word_hashes(rows, monkeypatch):
+    """A word's hash is the same in any place, and slices end between words."""
+    monkeypatch.setattr(passages, "SLICE_BYTES", 64)
+    text = "\n".join(r[1] or "" for r in rows).encode()
+    hashes, starts = passages.word_hashes(text)
+    words = text.split()
+    assert [text[s : s + len(w)] for s, w in zip(starts, words, strict=True)] == words
+    by = defaultdict(set)
+    for h, w in zip(hashes.tolist(), words, strict=True):
+        by[w].add(h)
+    assert all(len(v) == 1 for v in by.values()) and len(set().union(*by.values())) == len(by)
+
+
 def test_passages_empty(nothing):
     assert passages.remove_passages(nothing).count() == 0
