@@ -29,6 +29,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def columns_named(names: list[str]) -> list[Column]:
+    """Columns by their whole names, which may hold dots and backticks."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def _is_scan(df: DataFrame) -> bool:
     """Whether each row of ``df`` is one row of a file: projections and filters of a relation, and nothing else."""
     plan = df._jdf.queryExecution().analyzed()
@@ -44,8 +49,7 @@ def located(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     into the struct ``row``, so that no name can clash. Among a million files the chance that two
     paths have one hash is 3 in 10**8. Rows that don't come straight from Parquet are written to the shared folder first.
     """
-    names = docs.columns
-    kept = [F.col(f"`{c}`") for c in columns] if columns else [F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")]
+    kept = columns_named(columns) if columns else [F.struct(*columns_named(docs.columns)).alias("row")]
 
     def read(df: DataFrame) -> DataFrame:
         where = df.metadataColumn("_metadata")

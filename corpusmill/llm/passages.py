@@ -13,6 +13,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.llm.common import body, located
 
@@ -196,6 +197,8 @@ def _runs(candidates: DataFrame, window: int, gram: int) -> DataFrame:
             f, r, k = (batch.column(c).to_pylist() for c in ("f", "r", "k"))
             size = 0
             for at, z in enumerate(batch.column("z")):
+                if not batch.column("recurring")[at].is_valid:
+                    continue
                 text = unpress.decompress(z.as_py())
                 mine = anchors(word_hashes(text)[0], window, gram)
                 listed = batch.column("recurring")[at].values
@@ -320,7 +323,7 @@ def _cut(joined: DataFrame, names: list[str]) -> DataFrame:
 def covered_spans(texts: DataFrame, pressed: DataFrame, window: int, gram: int) -> DataFrame:
     """Word spans to remove by row: (f, r, spans).
 
-    1. Anchors that occur under two keys or more are confirmed, each with the least key that has it,
+    1. Anchors that occur in two rows or more are confirmed, each with the least key that has it,
        its owner; every recurring window has a confirmed anchor.
     2. Documents emit the runs of windows around confirmed anchors. A run goes to the shard of its
        owner and of the part of the text where its anchors stand first, so a shard holds passages of
@@ -330,24 +333,24 @@ def covered_spans(texts: DataFrame, pressed: DataFrame, window: int, gram: int)
     4. What salts leave open is decided by the least key that has the window, whose whole text is compared.
     """
     found = _document_anchors(texts, window, gram)
-    counted = found.groupBy("h").agg(F.min("k").alias("owner"), F.max("k").alias("last"), F.min("part").alias("part"), F.count(F.lit(1)).alias("n")).filter("owner < last")
+    counted = found.groupBy("h").agg(F.min("k").alias("owner"), F.min("part").alias("part"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / SALT_ROWS))).cast("int")
     confirmed = counted.select("h", "owner", "part", level.alias("level"))
     recurring = found.select("h", "f", "r").join(confirmed, "h").groupBy("f", "r").agg(F.collect_list(F.struct("h", "owner", "part", "level")).alias("recurring"))
-    runs = _runs(pressed.join(recurring, ["f", "r"]), window, gram)
+    # a left join here as in remove_passages, so that both read one exchange of the texts
+    runs = _runs(pressed.join(recurring, ["f", "r"], "left"), window, gram)
     owns, salts = F.col("k") == F.col("owner"), F.call_function("shiftleft", F.lit(1), F.col("level"))
     salt = F.explode(F.when(owns, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("f", "r"), salts).cast("int"))))
     dealt = runs.select(F.xxhash64("owner", "part").alias("shard"), "level", salt.alias("salt"), "owner", "f", "r", "k", "start", "words")
     ordered = dealt.repartition("shard", "level", "salt").sortWithinPartitions("shard", "level", "salt", "k", "f", "r", "start")
-    marked = _located(ordered, window)
-    undecided = marked.filter("open IS NOT NULL")
-    least = undecided.groupBy("open").agg(F.min("k").alias("least"))
-    late = undecided.join(least, "open").filter("least < k")
-    covered = marked.filter("open IS NULL").select("f", "r", "start", "length").unionByName(late.select("f", "r", "start", "length"))
+    # of a window that is left open each salt has one row at most for each row of its least key; covered words stay by themselves
+    apart = F.when(F.col("open").isNull(), F.xxhash64("f", "r", "start"))
+    marked = _located(ordered, window).withColumn("least", F.min("k").over(Window.partitionBy("open", apart)))
+    covered = marked.filter("open IS NULL OR least < k")
     return covered.groupBy("f", "r").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
 
-def remove_passages(docs: DataFrame, window: int = 13, gram: int = 8, returns: tuple[str, ...] = ("kept_text",)) -> DataFrame:
+def remove_passages(docs: DataFrame, window: int = 13, gram: int = 6, returns: tuple[str, ...] = ("kept_text",)) -> DataFrame:
     """Removes each word inside a ``window`` of words that also starts in a document with a smaller doc_id.
 
     One row per row of ``docs``: doc_id, n_words, n_removed and the kept words joined by one space
