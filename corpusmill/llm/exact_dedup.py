@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_lower, body, new_path, written
+from corpusmill.llm.common import ascii_lower, body, located, new_path, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rows of 32-byte digests or of locators that may be broadcast (about 64 MB); beyond it the join shuffles.
+#: Rows of 32-byte digests or of two-number locators that may be broadcast: 100 bytes each in a hash table, so 50 MB; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
@@ -36,17 +35,6 @@ def _state_settings(spark: SparkSession):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """Adds the content locator: file and row. Rows that don't come straight from Parquet are written to the shared folder first."""
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    try:
-        return docs.select("*", *where)
-    except AnalysisException:
-        path = new_path(docs.sparkSession, "content")
-        docs.write.parquet(path)
-        return docs.sparkSession.read.schema(docs.schema).parquet(path).select("*", *where)
-
-
 def normalised(text: str | Column = "text") -> Column:
     """What equality is judged on: null as empty, A-Z lower-cased, nothing else."""
     return ascii_lower(body(text))
@@ -60,7 +48,7 @@ def update_state(spark: SparkSession, spool: str, state: str, max_bytes: int = 1
     """
     schema = spark.read.parquet(spool).schema
     records = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(spool)
-    groups = records.groupBy("digest").agg(F.max(F.struct("doc_id", "_file", "_row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    groups = records.groupBy("digest").agg(F.max(F.struct("doc_id", "f", "r")).alias("keep"), F.count(F.lit(1)).alias("n"))
     with _state_settings(spark):
         query = groups.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -80,7 +68,7 @@ def _small(rows: DataFrame, n: int) -> DataFrame:
 
 
 def group_located(rows: DataFrame, digest_bytes: int = 32, max_bytes: int = 1 << 30) -> DataFrame:
-    """Every row of ``located`` documents with its locator, text_sha256 and the group of equal texts: keep (doc_id, _file, _row) and n.
+    """Every row of ``located`` documents (f, r, doc_id, text) with its locator, text_sha256 and the group of equal texts: keep (doc_id, f, r) and n.
 
     Digests and locators are spooled, streamed through the state, and every text whose digest hit
     is compared in full with the others of that digest: least and greatest text per digest, found
@@ -91,44 +79,55 @@ def group_located(rows: DataFrame, digest_bytes: int = 32, max_bytes: int = 1 <<
     key = lambda sha: F.substring(sha, 1, digest_bytes)
     spool = new_path(spark, "digests")
     sha = F.unhex(F.sha2(F.encode(normalised(), "UTF-8"), 256))
-    rows.select("doc_id", sha.alias("sha"), "_file", "_row").withColumn("digest", key(F.col("sha"))).write.parquet(spool)
+    rows.select("doc_id", sha.alias("sha"), "f", "r").withColumn("digest", key(F.col("sha"))).write.parquet(spool)
     state_path = new_path(spark, "dedup-state")
     update_state(spark, spool, state_path, max_bytes)
     state = read_state(spark, state_path)
     records = spark.read.parquet(spool)
     hits = state.filter("n > 1").select("digest")
-    texts = rows.select(normalised().alias("norm"), "doc_id", "_file", "_row").withColumn("digest", key(F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256))))
+    texts = rows.select(normalised().alias("norm"), "doc_id", "f", "r").withColumn("digest", key(F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256))))
     hit_texts = texts.join(_small(hits, hits.count()), "digest")
     lied = written(hit_texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("digest"), "collisions")
     n_lied = lied.count()
     grouped = records.join(state, "digest")
     if n_lied:
         doubtful = texts.join(_small(lied, n_lied), "digest")
-        exact = doubtful.groupBy("norm").agg(F.max(F.struct("doc_id", "_file", "_row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-        regrouped = doubtful.join(exact, "norm").select("_file", "_row", "keep", "n")
+        exact = doubtful.groupBy("norm").agg(F.max(F.struct("doc_id", "f", "r")).alias("keep"), F.count(F.lit(1)).alias("n"))
+        regrouped = doubtful.join(exact, "norm").select("f", "r", "keep", "n")
         sure = grouped.join(lied, "digest", "left_anti")
-        grouped = sure.unionByName(records.join(lied, "digest", "left_semi").join(regrouped, ["_file", "_row"]))
-    return grouped.select("doc_id", "_file", "_row", "keep", "n", F.lower(F.hex("sha")).alias("text_sha256"))
+        grouped = sure.unionByName(records.join(lied, "digest", "left_semi").join(regrouped, ["f", "r"]))
+    return grouped.select("doc_id", "f", "r", "keep", "n", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def _stays() -> Column:
-    return (F.col("_file") == F.col("keep._file")) & (F.col("_row") == F.col("keep._row"))
+    return (F.col("f") == F.col("keep.f")) & (F.col("r") == F.col("keep.r"))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Whole ``located`` rows, unpacked, but for those at the locators of ``gone``."""
+    gone = written(gone.select("f", "r"), "gone")
+    return rows.join(_small(gone, gone.count()), ["f", "r"], "left_anti").select("row.*")
 
 
 def dedup_report(docs: DataFrame, **settings) -> DataFrame:
     """One row per document: of equal texts the row with the largest doc_id stays.
 
     Null doc_ids are smallest; of rows that repeat a doc_id and text the last by locator stays, and
-    exactly one of a group is kept. Null text equals empty text. Other columns are not read.
+    exactly one of a group is kept. Null text equals empty text. A very long text is hashed in
+    place and compared whole. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
-    return group_located(located(docs), **settings).select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), _stays().alias("kept"), "text_sha256")
+    rows = located(docs.select("doc_id", "text"), ["doc_id", "text"])
+    return group_located(rows, **settings).select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), _stays().alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, **settings) -> DataFrame:
-    """The documents without the copies that go, all columns kept."""
+    """The documents without the copies that go, all columns kept, whatever their names.
+
+    Nulls, empty and repeated rows are as in ``dedup_report``: one row of each group of equal texts
+    stays as it was. An empty table stays empty.
+    """
     rows = located(docs)
-    gone = written(group_located(rows, **settings).filter(~_stays()).select("_file", "_row"), "copies")
-    return rows.join(_small(gone, gone.count()), ["_file", "_row"], "left_anti").drop("_file", "_row")
+    return without(rows, group_located(rows.select("f", "r", "row.doc_id", "row.text"), **settings).filter(~_stays()))
 
 
 DEDUP_SQL = f"""

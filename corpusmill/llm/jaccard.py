@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import body, written
+from corpusmill.llm.common import body, located, written
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.exact_dedup import located
+from corpusmill.llm.exact_dedup import without
 from corpusmill.llm.passages import MULTIPLIER, WordHasher, gram_hashes, mixed
 
-#: Nodes that may be broadcast to filter a scan (32 MB); beyond it the texts are shuffled to them.
-BROADCAST_NODES = 1_000_000
+#: Nodes and their locators, three numbers each, that may be broadcast: 100 bytes in a hash table, so 50 MB; beyond it the texts are shuffled to them.
+BROADCAST_NODES = 500_000
 #: Members of a region that meet in one task; larger regions are joined block by block.
 REGION_ROWS = 1024
 
@@ -109,8 +109,8 @@ def cells_of(found: np.ndarray, rule: Rule) -> tuple[np.ndarray, int]:
 
 
 def _sets(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, _file, _row, n, s1, s2, cells, need): size, 128-bit digest and cells of each row's set, and what ``cells_of`` says of them."""
-    kept = rows.select("doc_id", "_file", "_row", body().alias("text"))
+    """(doc_id, f, r, n, s1, s2, cells, need): size, 128-bit digest and cells of each row's set, and what ``cells_of`` says of them."""
+    kept = rows.select("doc_id", "f", "r", body().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -126,10 +126,10 @@ def _sets(rows: DataFrame, rule: Rule) -> DataFrame:
                 cells.append(keys)
                 needs.append(need)
             made = [pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(needs, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_file", "_row")), *made], names=["doc_id", "_file", "_row", "n", "s1", "s2", "cells", "need"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "f", "r")), *made], names=["doc_id", "f", "r", "n", "s1", "s2", "cells", "need"])
 
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, _file string, _row long, n long, s1 long, s2 long, cells array<long>, need int")
+    return kept.mapInArrow(run, f"doc_id {kind}, f long, r long, n long, s1 long, s2 long, cells array<long>, need int")
 
 
 def candidate_regions(nodes: DataFrame) -> DataFrame:
@@ -243,25 +243,25 @@ def _remaining_links(measured: DataFrame, texts: DataFrame, rule: Rule) -> DataF
 
 
 def link_documents(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Every row of ``located`` documents: doc_id, _file, _row, n_shingles, first (locator order within its class) and ``component``."""
+    """Every row of ``located`` documents: doc_id, f, r, n_shingles, first (locator order within its class) and ``component``."""
     table = written(_sets(rows, rule).withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
     # rows with equal sets are one node; the empty set is a node for each row
     class_key = [F.col("s1"), F.col("s2"), F.when(F.col("n") == 0, F.col("id")).alias("alone")]
     classes = table.select(*class_key, "id").groupBy("s1", "s2", "alone").agg(F.min("id").alias("node"))
-    member = table.select("doc_id", "_file", "_row", "n", "id", *class_key).alias("t").join(classes.alias("c"), (F.col("t.s1") == F.col("c.s1")) & (F.col("t.s2") == F.col("c.s2")) & F.col("t.alone").eqNullSafe(F.col("c.alone")))
-    member = written(member.select("t.doc_id", "_file", "_row", "n", "id", "node"), "members")
+    member = table.select("doc_id", "f", "r", "n", "id", *class_key).alias("t").join(classes.alias("c"), (F.col("t.s1") == F.col("c.s1")) & (F.col("t.s2") == F.col("c.s2")) & F.col("t.alone").eqNullSafe(F.col("c.alone")))
+    member = written(member.select("t.doc_id", "f", "r", "n", "id", "node"), "members")
     nodes = table.filter("size(cells) > 0").groupBy("s1", "s2").agg(F.min_by("cells", "id").alias("cells"), F.min("need").alias("need"), F.min("id").alias("node")).select("node", "cells", "need")
     regions = written(candidate_regions(nodes), "regions")
-    wanted = written(regions.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(member.filter("id = node").select("node", "_file", "_row"), "node"), "wanted")
+    wanted = written(regions.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(member.filter("id = node").select("node", "f", "r"), "node"), "wanted")
     small = wanted.count() <= BROADCAST_NODES
-    texts = written(rows.select("_file", "_row", body().alias("text")).join(F.broadcast(wanted) if small else wanted, ["_file", "_row"]).select("node", "text"), "candidates")
+    texts = written(rows.select("f", "r", body().alias("text")).join(F.broadcast(wanted) if small else wanted, ["f", "r"]).select("node", "text"), "candidates")
     pairs = regions.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
     measured = written(_measured(pairs, rule), "distances")
     links = measured.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(_remaining_links(measured, texts, rule))
     found = connected_components(links)
     placed = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first"))
-    return placed.join(least, "component").select("doc_id", "_file", "_row", F.col("n").alias("n_shingles"), (F.col("id") == F.col("first.id")).alias("stays"), F.col("first.doc_id").alias("component_id"))
+    return placed.join(least, "component").select("doc_id", "f", "r", F.col("n").alias("n_shingles"), (F.col("id") == F.col("first.id")).alias("stays"), F.col("first.doc_id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -269,13 +269,17 @@ def jaccard_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
     Null and empty texts have no shingles and link with nothing; rows with equal sets link; null
     doc_ids come last, so a component of nulls has a null id; repeated rows each give a row; an empty
-    table gives none. Other columns are not read.
+    table gives none. A very long text is read whole, and texts meet in tasks of bounded bytes.
+    Other columns, whatever their names, are not read.
     """
-    return link_documents(located(docs), rule or Rule()).select("doc_id", "n_shingles", "component_id")
+    return link_documents(located(docs.select("doc_id", "text"), ["doc_id", "text"]), rule or Rule()).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The documents with the smallest doc_id of each component, all columns kept."""
+    """The documents with the smallest doc_id of each component, all columns kept, whatever their names.
+
+    Nulls, empty and repeated rows are as in ``jaccard_components``: texts without words all stay,
+    and of repeated rows one. An empty table stays empty.
+    """
     rows = located(docs)
-    gone = written(link_documents(rows, rule or Rule()).filter("NOT stays").select("_file", "_row"), "near-copies")
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, ["_file", "_row"], "left_anti").drop("_file", "_row")
+    return without(rows, link_documents(rows.select("f", "r", "row.doc_id", "row.text"), rule or Rule()).filter("NOT stays"))

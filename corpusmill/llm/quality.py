@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import body, words
+from corpusmill.llm.common import body, columns_named, words
 
 # Occurrences per 1,000 words of running text, rounded, for twelve frequent words of each language.
 COMMON_WORDS = {
@@ -74,11 +74,13 @@ def score_quality(docs: DataFrame, min_words: int = 50, max_class_distance: floa
     ``max_word_distance``. Therefore ``common_distance`` compares the common words among themselves,
     1 where there is none. It rejects texts of ``min_common_words`` words or more that lie further than
     ``max_common_distance``, and from half as many words on those without a single common word.
-    Columns with the names of results are replaced; others pass through.
+    Columns with the names of results are replaced; all others pass through, whatever their names.
+    Repeated rows each give a row; a very long text is measured whole, in its own row; an empty table gives no rows.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "common_distance", "base_failed", "kept"]
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    df = docs.drop(*made).withColumn("_lang", lang).withColumn("_t", body()).withColumn("_w", words(F.col("_t")))
+    others = columns_named([c for c in docs.columns if c not in made])
+    df = docs.select(F.struct(*others).alias("_row"), lang.alias("_lang"), body().alias("_t")).withColumn("_w", words(F.col("_t")))
     df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("long")).withColumn("_n", F.char_length("_t"))
     # what is neither letter nor separator: a small part of a text, in which all other classes are counted
     df = df.withColumn("_odd", F.regexp_replace("_t", r"[\p{L}\x20\x09-\x0D]+", "")).withColumn("n_symbols", (F.char_length("_odd") - _left(F.col("_odd"), r"[#*$%&|<>]+")).cast("long"))
@@ -110,8 +112,7 @@ def score_quality(docs: DataFrame, min_words: int = 50, max_class_distance: floa
     near = near & ~F.when(F.col("common_distance").isNotNull(), strange).otherwise(False)
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near)
     # one row in, one row out: filters on the results stay above this and don't copy the expressions below it
-    others = [c for c in docs.columns if c not in made]
-    return df.select(*others, F.explode(F.array(F.struct(*made))).alias("_made")).select(*others, *(F.col(f"_made.{c}").alias(c) for c in made))
+    return df.select("_row", F.explode(F.array(F.struct(*made))).alias("_made")).select("_row.*", "_made.*")
 
 
 QUALITY_SQL = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -18,7 +19,7 @@ HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: A maximal run of MIN_HEX or more is what HEX finds and keeps; shorter runs are never visited.
 LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_token", "entropy_base64")
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,7 @@ class CharacterClass:
     """Candidates of one character class: runs of ``alphabet`` of ``window`` characters or more.
 
     A window is a hit when its entropy reaches ``bits`` and it has a character of each of ``needs``.
+    Hits inside a match of one of ``allow`` are harmless in this class.
     """
 
     kind: str
@@ -33,18 +35,23 @@ class CharacterClass:
     window: int
     bits: float
     needs: tuple[str, ...] = ()
+    allow: tuple[str, ...] = ()
 
 
-#: Random hexadecimal digits have about 3.5 bits in 32 characters, random base64 about 4.6; prose and identifiers have less or lack a class.
+DIGITS, SMALL, CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A random window falls short of the most its length allows by about 0.1 bits for each pair of equal characters
+#: in 20, of which letters and digits have three: nine of ten reach 3.8. Of 32 random base64 characters most reach
+#: 4.4, of 24 random hexadecimal digits 3.3. Prose and identifiers have less, or lack a class. Words of a
+#: link's path form long runs only where a slash may stand in them, so links are harmless in that class alone.
 CLASSES = (
-    CharacterClass("entropy_hex", "0-9A-Fa-f", 32, 3.0, ("0123456789", "abcdefABCDEF")),
-    CharacterClass("entropy_base64", "A-Za-z0-9+/_=-", 32, 4.25, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
+    CharacterClass("entropy_hex", "0-9A-Fa-f", 24, 3.0, (DIGITS, "abcdefABCDEF")),
+    CharacterClass("entropy_token", "A-Za-z0-9+_=-", 20, 3.8, (DIGITS, SMALL, CAPITAL)),
+    CharacterClass("entropy_base64", "A-Za-z0-9+/_=-", 32, 4.25, (DIGITS, SMALL, CAPITAL), (r"https?://\S+",)),
 )
-#: Entropy hits inside a match of one of these are known to be harmless: identifiers, digests with a name, links, sample keys.
+#: Entropy hits inside a match of one of these are known to be harmless: identifiers, digests with a name, inline data, sample keys.
 ALLOW = (
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
     r"(?:sha(?:1|224|256|384|512)|md5|blake2[bs])[-:=_][A-Za-z0-9+/=]+",
-    r"https?://\S+",
     r"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]+",
     r"[A-Za-z0-9+/_=-]*EXAMPLE[A-Za-z0-9+/_=-]*",
 )
@@ -95,11 +102,12 @@ class SecretScanner:
     classes: tuple[CharacterClass, ...] = CLASSES
     allow: tuple[str, ...] = ALLOW
     _runs: list[re.Pattern] = field(init=False)
-    _allow: re.Pattern | None = field(init=False)
+    _allow: list[re.Pattern | None] = field(init=False)
 
     def __post_init__(self) -> None:
-        self._runs = [re.compile(f"[{c.alphabet}]{{{c.window},}}") for c in self.classes]
-        self._allow = re.compile("|".join(f"(?:{p})" for p in self.allow)) if self.allow else None
+        # a run is tried where it begins and nowhere inside
+        self._runs = [re.compile(f"(?<![{c.alphabet}])[{c.alphabet}]{{{c.window},}}") for c in self.classes]
+        self._allow = [re.compile("|".join(f"(?:{p})" for p in c.allow + self.allow)) if c.allow + self.allow else None for c in self.classes]
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
         """The contract's spans: leftmost and non-overlapping within a kind; short ones are dropped after matching."""
@@ -112,13 +120,15 @@ class SecretScanner:
     def entropy(self, text: str) -> list[tuple[int, int, str]]:
         """High-entropy spans outside the allow-list."""
         found = []
-        for rule, runs in zip(self.classes, self._runs, strict=True):
-            for m in runs.finditer(text):
-                found += [(m.start() + a, m.start() + b, rule.kind) for a, b in entropy_spans(m[0], rule)]
-        if not found or self._allow is None:
-            return found
-        allowed = [(m.start(), m.end()) for m in self._allow.finditer(text)]
-        return [s for s in found if not any(a <= s[0] and s[1] <= b for a, b in allowed)]
+        for rule, runs, allow in zip(self.classes, self._runs, self._allow, strict=True):
+            hits = [(m.start() + a, m.start() + b, rule.kind) for m in runs.finditer(text) for a, b in entropy_spans(m[0], rule)]
+            if hits and allow is not None:
+                # matches don't overlap, so only the last that begins before a hit can hold it
+                allowed = [m.span() for m in allow.finditer(text)]
+                before = [bisect.bisect_right(allowed, (start, len(text))) - 1 for start, _, _ in hits]
+                hits = [h for h, at in zip(hits, before, strict=True) if at < 0 or allowed[at][1] < h[1]]
+            found += hits
+        return found
 
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """Base spans and all spans, each by start and then by kind as KINDS lists them. Null reads as empty."""
@@ -148,7 +158,8 @@ def scan_secrets(docs: DataFrame, scanner: SecretScanner | None = None) -> DataF
     """One row per document with its counts, the digest of its base spans, and all spans.
 
     A narrow map over (doc_id, text): no shuffle, and memory holds one Arrow batch. Null and empty
-    texts have no spans; repeated rows each give a row; other columns are not read.
+    texts have no spans; repeated rows each give a row; a very long text takes time in proportion to
+    its length; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     scanner = scanner or SecretScanner()
 
@@ -169,16 +180,25 @@ def scan_secrets(docs: DataFrame, scanner: SecretScanner | None = None) -> DataF
 
 
 def redact_secrets(docs: DataFrame, scanner: SecretScanner | None = None) -> DataFrame:
-    """The documents with secrets replaced, all columns kept; ``n_chars`` follows the text where there is one."""
+    """The documents with secrets replaced, all columns kept; ``n_chars`` follows the text where there is one.
+
+    Null and empty texts stay as they are; repeated rows stay; an empty table stays empty; other
+    columns pass through, whatever their names.
+    """
     scanner = scanner or SecretScanner()
+    # by place, as names may hold dots
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    numbered = docs.toDF(*names.values())
+    text, n_chars = names["text"], names.get("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [scanner.redact(t.as_py()) for t in batch.column("text")]
-            columns = {"text": pa.array(texts, batch.schema.field("text").type)}
-            if "n_chars" in batch.schema.names:
-                before = batch.column("text")
-                columns["n_chars"] = pa.array([old.as_py() if new == was.as_py() else len(new) for old, was, new in zip(batch.column("n_chars"), before, texts, strict=True)], batch.schema.field("n_chars").type)
+            before = batch.column(text)
+            after = [scanner.redact(t.as_py()) for t in before]
+            columns = {text: pa.array(after, before.type)}
+            if n_chars is not None:
+                sizes = batch.column(n_chars)
+                columns[n_chars] = pa.array([size.as_py() if new == was.as_py() else len(new) for size, was, new in zip(sizes, before, after, strict=True)], sizes.type)
             yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

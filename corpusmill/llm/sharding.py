@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.llm.common import columns_named, written
+
 #: Multiplier of the generator in the published algorithm. Fixed value.
 JUMP_MULTIPLIER = 2862933555777941757
+#: Rows that one task numbers on average.
+BUCKET_ROWS = 200_000
 
 
 def jump_hash(keys: np.ndarray, n_shards: int) -> np.ndarray:
@@ -33,12 +37,13 @@ def jump_hash(keys: np.ndarray, n_shards: int) -> np.ndarray:
     return shard
 
 
-def shard_of(key: Column, n_shards: int) -> Column:
-    """The shard of a stable key. Keys of any type are hashed to 64 bits first; null is a key too."""
+def shards_of(key: Column, n_shards: int) -> Column:
+    """The shard of a stable key, and with one shard more: (shard, grown). Keys of any type are hashed to 64 bits first; null is a key too."""
 
-    @F.pandas_udf("int")
-    def assign(hashed: pd.Series) -> pd.Series:
-        return pd.Series(jump_hash(hashed.to_numpy(), n_shards).astype(np.int32))
+    @F.pandas_udf("shard int, grown int")
+    def assign(hashed: pd.Series) -> pd.DataFrame:
+        keys = hashed.to_numpy()
+        return pd.DataFrame({"shard": jump_hash(keys, n_shards).astype(np.int32), "grown": jump_hash(keys, n_shards + 1).astype(np.int32)})
 
     return assign(F.xxhash64(key))
 
@@ -48,32 +53,39 @@ def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id") -> DataFr
 
     Only the key and the shard count decide, so repeated rows share a shard; growing by one moves
     about 1/(n+1) of the keys, all into the new shard. A null key is one key. Nothing is shuffled.
+    Columns with these two names are replaced; others pass through.
     """
-    return docs.withColumn("shard", shard_of(F.col(key), n_shards)).withColumn("grown_shard", shard_of(F.col(key), n_shards + 1))
+    others = [c for c in docs.columns if c not in ("shard", "grown_shard")]
+    both = docs.select(F.struct(*columns_named(others)).alias("row"), shards_of(columns_named([key])[0], n_shards).alias("both"))
+    return both.select("row.*", F.col("both.shard").alias("shard"), F.col("both.grown").alias("grown_shard"))
 
 
-def number_slots(rows: DataFrame, order: list[str], buckets: int = 1024, key: str = "doc_id") -> DataFrame:
+def number_slots(rows: DataFrame, key: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``slot``: gapless numbers from 0 within each shard, without gathering a shard in one task.
 
-    Rows are numbered within (shard, bucket of the key); the counts of all buckets, at most
-    n_shards * buckets rows, give each bucket's first number and are broadcast under that bound.
-    Ties in ``order`` are rows that differ in nothing that is returned.
+    Rows are dealt to buckets by a hash of ``key`` and numbered by it within (shard, bucket). There are
+    so many buckets that one holds ``bucket_rows`` rows on average. The counts of the buckets give
+    each its first number; they are joined by the same two columns, which moves only the counts.
+    Ties are rows that are equal in ``key``. ``rows`` must be stored, for it is read three times.
     """
-    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    buckets = max(64, -(-rows.count() // bucket_rows))
+    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = bucketed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(*order)
+    within = Window.partitionBy("shard", "_bucket").orderBy(*key)
     numbered = bucketed.withColumn("_at", F.row_number().over(within) - 1)
-    return numbered.join(F.broadcast(starts), ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).drop("_bucket", "_start", "_at")
+    return numbered.join(starts, ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).drop("_bucket", "_start", "_at")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Every document with its shard, its slot there and its shard after growth by one.
 
-    Null text has size 1 (no bytes, plus 1) and the checksum of no bytes. Repeated rows get a slot
-    each. An empty table gives no rows. Columns other than doc_id and text are not read.
+    Null text has size 1 (no bytes, plus 1) and the checksum of no bytes. Null doc_ids share a shard,
+    but not a bucket. Repeated rows get a slot each. A very long text is measured in place and not
+    moved. An empty table gives no rows. Columns other than doc_id and text, whatever their names, are
+    not read. The documents are scanned once; what is written to the shared folder and shuffled are six numbers a row.
     """
     text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
-    placed = number_slots(assign_shards(sized, n_shards), ["doc_id", "text_crc32", "size"])
+    placed = number_slots(written(assign_shards(sized, n_shards), "shards"), ["doc_id", "text_crc32", "size"], bucket_rows)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

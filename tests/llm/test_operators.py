@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import bpe, chat, exact_dedup, fixity, jaccard, packing, passages, quality, secrets, sharding
@@ -93,7 +94,7 @@ def test_jump_hash_follows_the_published_loop():
 
 
 def test_shards(docs, rows, nothing):
-    got = sharding.shard_documents(docs, 8).collect()
+    got = sharding.shard_documents(docs, 8, bucket_rows=1).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode()), "key") for r in rows)
     assert Counter((r.doc_id, r.size, r.text_crc32, r.law) for r in got) == want
     slots, by_key = defaultdict(list), defaultdict(set)
@@ -154,7 +155,12 @@ def test_entropy_and_allow_list():
     key = "kJ8sQ2vX9bR4tY7wZ1nM5cL3fH6gD0aPeUoI"
     scanner = secrets.SecretScanner()
     assert any(s[2] == "entropy_base64" for s in scanner.scan(f"see {key} there")[1])
-    assert not scanner.scan(f"see https://x.org/{key} there")[1]
+    # a short key, one in a link's path and one in its query are found; the link's words are not
+    for text in (f"see {key[:22]} there", f"https://x.org/hooks/{key[:24]}/post", f"https://x.org/a?sig={key[:24]}&x=1"):
+        (found,) = {s[2] for s in scanner.scan(text)[1]}
+        assert found == "entropy_token" and "[SECRET]" in scanner.redact(text) and ("x.org" in scanner.redact(text)) == ("x.org" in text)
+    assert not scanner.scan("see https://x.org/Docs/2024/GettingStarted/Install/Guide3/IndexPage there")[1]
+    assert not scanner.scan("sha256:" + key + " 123e4567-e89b-12d3-a456-426614174000 EXAMPLE" + key)[1]
     assert not scanner.scan("antidisestablishmentarianismantidisestablishmentarianism")[1]
     assert scanner.redact(f"a {key} b") == "a [SECRET] b" and scanner.redact(None) is None
 
@@ -261,19 +267,51 @@ def test_quality_rejects_texts_without_the_common_words_of_their_language(spark)
 # fixity
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def by_record(pages):
+    """Copies of each record by page, url and payload, nulls as empty."""
+    return Counter((i, u or "", h or "") for i, u, h in pages)
+
+
 def test_audit_locates_damage(spark):
-    pages = [(i, f"http://x/{i}", f"<p>{i}</p>" * 3) for i in range(300)] + [(None, None, None), (7, "http://x/7", "<p>7</p>" * 3)]
-    a = spark.createDataFrame(pages, "page_id long, url string, html string")
-    damaged = [(i, u, h + "!" if i == 31 else h) for i, u, h in pages if i != 200] + [(999, "http://x/999", "new")]
-    got = fixity.audit(a, spark.createDataFrame(damaged, a.schema), records_per_file=40, fan_out=4).collect()
-    assert {(r.page_id, r.status) for r in got if r.status != "ok"} == {(31, "corrupt"), (200, "missing"), (999, "extra")}
-    assert len(got) == len(pages) + 1
-    ends = defaultdict(int)
-    for r in sorted((r for r in got if r.status != "extra"), key=lambda r: (r.warc_file, r.leaf)):
-        assert r.offset == ends[r.warc_file]
+    pages = [(i, f"http://x/{i}", f"<p>{i}</p>" * 3) for i in range(-20, 300)] + [(None, None, None), (7, "http://x/7", "<p>7</p>" * 3), (7, "http://x/seven", None)]
+    pages += [(50, "http://x/50", "hot")] * 40 + [(51, "http://x/51", f"hot {i}") for i in range(40)] + [(None, None, f"n{i}") for i in range(10)]
+    damaged = [(i, u, (h or "") + "!" if i in (31, -4) else h) for i, u, h in pages if i != 200 and h not in ("hot 7", "n3")]
+    damaged.remove((50, "http://x/50", "hot"))
+    damaged += [(999, "http://x/999", "new"), (999, "http://x/999", "new"), (60, "http://x/60", "more")]
+    a, b = (spark.createDataFrame(x, PAGES) for x in (pages, damaged))
+    got = fixity.audit(a, b, records_per_file=40).collect()
+    wrong = Counter((r.page_id, r.status) for r in got if r.status != "ok")
+    assert wrong == {(31, "corrupt"): 1, (-4, "corrupt"): 1, (200, "missing"): 1, (50, "missing"): 1, (51, "missing"): 1, (None, "missing"): 1, (999, "extra"): 2, (60, "extra"): 1}
+    assert len(got) == len(pages) + 3
+    ends, leaves = defaultdict(int), defaultdict(int)
+    for r in sorted((r for r in got if r.status != "extra"), key=lambda r: (r.warc_file is None, r.warc_file, r.leaf)):
+        assert r.warc_file == (None if r.page_id is None else r.page_id // 40)
+        assert (r.offset, r.leaf) == (ends[r.warc_file], leaves[r.warc_file])
         ends[r.warc_file] += r.length
-    assert fixity.audit(a, a, records_per_file=40).filter("status <> 'ok'").count() == 0
-    assert fixity.audit(a.limit(0), a.limit(0)).count() == 0
+        leaves[r.warc_file] += 1
+    assert Counter(r.status for r in fixity.audit(b, a).collect())["extra"] == 4
+
+
+def test_only_mismatching_branches_are_read(spark):
+    pages = spark.range(5000).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat('x', cast(id % 50 AS int)) AS html")
+    bounds = fixity.id_bounds(pages)
+    tree = fixity.build_tree(pages, "a", bounds, 4)
+    assert fixity.descend(tree, fixity.build_tree(pages, "b", bounds, 4)) == (None, [])
+    one = pages.withColumn("html", F.when(F.col("page_id") == 3210, "other").otherwise(F.col("html")))
+    bad, compared = fixity.descend(tree, fixity.build_tree(one, "c", bounds, 4))
+    # of 5000 pages, 16 nodes at most at each of the levels above the leaves
+    assert {r.node for r in bad.collect()} == {3210} and len(compared) == 5 and max(compared) <= 16
+    assert [(r.page_id, r.status) for r in fixity.audit(pages, one).filter("status <> 'ok'").collect()] == [(3210, "corrupt")]
+
+
+def test_audit_of_nothing(spark):
+    empty, one = spark.createDataFrame([], PAGES), spark.createDataFrame([(1, "u", "h")], PAGES)
+    assert fixity.audit(empty, empty).count() == 0
+    assert [r.status for r in fixity.audit(empty, one).collect()] == ["extra"]
+    assert [r.status for r in fixity.audit(one, empty).collect()] == ["missing"]
 
 
 # Jaccard join
@@ -356,7 +394,7 @@ def test_exact_dedup_state_goes_on(spark, tmp_path):
     """Copies that come later meet the state of what came before; nothing expires."""
     spool, state = str(tmp_path / "spool"), str(tmp_path / "state")
     for first, n in ((0, 20), (100, 30)):
-        batch = spark.range(first, first + n).selectExpr("unhex(sha2(cast(id % 10 as string), 256)) AS digest", "id AS doc_id", "'f' AS _file", "id AS _row")
+        batch = spark.range(first, first + n).selectExpr("unhex(sha2(cast(id % 10 as string), 256)) AS digest", "id AS doc_id", "7L AS f", "id AS r")
         batch.write.mode("append").parquet(spool)
         exact_dedup.update_state(spark, spool, state)
     got = {(r.keep.doc_id, r.n) for r in exact_dedup.read_state(spark, state).collect()}
