@@ -1,7 +1,10 @@
-"""Chunk scores as column expressions: prompt-injection signals and SimHash fingerprints. All JVM-side."""
+"""Chunk scores as column expressions: prompt-injection signals and SimHash fingerprints."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,38 +24,36 @@ PHRASES = (
 QUARANTINE, SUSPICIOUS = 0.70, 0.40
 
 
-def instruction(text: Column, phrases: tuple[str, ...] = PHRASES) -> Column:
-    """1 where the collapsed text holds a phrase, else 0."""
-    norm = collapse(text)
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | norm.contains(phrase)
-    return F.when(found, 1.0).otherwise(0.0)
+def matched_phrases(norm: Column, phrases: tuple[str, ...] = PHRASES) -> Column:
+    """The phrases that a collapsed text holds, in the order of the list."""
+    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(norm, p))
 
 
-def largest_count(words: Column) -> Column:
-    """How often the commonest word occurs: runs in the sorted array, so the work is that of the sort."""
-    step = lambda s, w: F.struct(
-        w.alias("last"),
-        F.when(w == s["last"], s["run"] + 1).otherwise(1).alias("run"),
-        F.greatest(s["best"], F.when(w == s["last"], s["run"] + 1).otherwise(1)).alias("best"),
-    )
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-    return F.aggregate(F.array_sort(words), start, step)["best"]
+def poison_scores(rows: DataFrame, text: str = "text", phrases: tuple[str, ...] = PHRASES) -> DataFrame:
+    """Adds matched_phrases, instruction, repetition, stuffing, score and level. Null and blank texts score 0 and are clean.
 
+    The words of a text are read once, in Arrow batches: of a text only the number of its words, of
+    its different ones, and how often the commonest long one occurs go on. The phrases are looked for in the JVM.
+    """
+    @F.pandas_udf("n int, distinct int, most int")
+    def counts(norms: pd.Series) -> pd.DataFrame:
+        out = []
+        for norm in norms:
+            found = Counter(norm.split(" ")) if norm else {}
+            out.append((sum(found.values()), len(found), max((c for w, c in found.items() if c > 1 and len(w.encode()) > 3), default=1)))
+        return pd.DataFrame(out, columns=["n", "distinct", "most"])
 
-def poison_scores(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds instruction, repetition, stuffing, score and level. Null and blank texts score 0 and are clean."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    words = rows.withColumn("_words", fields(body))
-    n = F.size("_words")
-    repetition = F.when(n < 6, 0.0).otherwise(F.least(F.lit(1.0), 2.0 * (n - F.size(F.array_distinct("_words"))) / n))
-    most = largest_count(F.filter("_words", lambda w: F.octet_length(w) > 3))
-    stuffing = F.when((n < 6) | (most < 2), 0.0).otherwise(F.least(F.lit(1.0), (most - 1) / 5.0))
-    scored = words.withColumns({"instruction": instruction(body), "repetition": repetition, "stuffing": stuffing})
+    others = [c for c in rows.columns if c not in ("matched_phrases", "instruction", "repetition", "stuffing", "score", "level")]
+    body = collapse(F.coalesce(F.col(text), F.lit("")))
+    counted = rows.select(*others, body.alias("_norm")).withColumn("_c", counts("_norm"))
+    n, few = F.col("_c.n"), F.col("_c.n") < 6
+    repetition = F.when(few, 0.0).otherwise(F.least(F.lit(1.0), 2.0 * (n - F.col("_c.distinct")) / n))
+    stuffing = F.when(few | (F.col("_c.most") < 2), 0.0).otherwise(F.least(F.lit(1.0), (F.col("_c.most") - 1) / 5.0))
+    found = counted.withColumns({"matched_phrases": matched_phrases(F.col("_norm"), phrases), "repetition": repetition, "stuffing": stuffing})
+    found = found.withColumn("instruction", F.when(F.size("matched_phrases") > 0, 1.0).otherwise(0.0)).drop("_norm", "_c")
     score = F.least(F.lit(1.0), 0.5 * F.col("instruction") + 0.25 * F.col("repetition") + 0.25 * F.col("stuffing"))
     level = F.when(F.col("score") >= QUARANTINE, "quarantine").when(F.col("score") >= SUSPICIOUS, "suspicious").otherwise("clean")
-    return scored.withColumn("score", score).withColumn("level", level).drop("_words")
+    return found.withColumn("score", score).withColumn("level", level)
 
 
 def simhash(rows: DataFrame, key: str, text: str = "text") -> DataFrame:

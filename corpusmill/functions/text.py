@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that the index leaves out.
-STOPWORDS = "the a an and or but of to in on for is are was were be been with as at by this that it from".split(" ")
+STOPWORDS = ("the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "for", "is", "are", "was", "were", "be", "been", "with", "as", "at", "by", "this", "that", "it", "from")
 TOKEN_PATTERN = r"[\p{L}\p{Nd}]+"
 SPACE = r"(?U)\s+"
 
@@ -23,7 +23,7 @@ def fields(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Index terms: lower-cased runs of letters and digits without stopwords, repeats kept."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0)), lambda t: ~t.isin(STOPWORDS))
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0)), lambda t: ~t.isin(*STOPWORDS))
 
 
 def token_estimate(text: Column) -> Column:
@@ -41,6 +41,16 @@ def generate_id(content: Column, mime: Column, metadata: Column) -> Column:
     return F.sha2(F.concat(content, mime, F.array_join(pairs, "")), 256)
 
 
+def document_identity(content: Column, mime: Column, metadata: Column, transient: tuple[str, ...] = ("heading_spans", "images", "page_offsets")) -> Column:
+    """The content address of what a reader gave, without the metadata that only the way in needs."""
+    return generate_id(content, mime, F.map_filter(metadata, lambda k, _: ~k.isin(*transient)))
+
+
+def chunk_identity(content: Column, mime: Column, document_id: Column, index: Column) -> Column:
+    """The content address of a chunk: text, type, document and place."""
+    return generate_id(content, mime, F.create_map(F.lit("doc"), document_id, F.lit("idx"), index.cast("string")))
+
+
 def text_metadata(text: Column) -> Column:
     """What the plain-text reader notes of a file: bytes, encoding, lines."""
     lines = F.when(text == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, r"\n\z", ""), "\n")))
@@ -48,15 +58,16 @@ def text_metadata(text: Column) -> Column:
 
 
 def preview(text: Column, n: int = 160) -> Column:
-    """One line of at most n characters, with an ellipsis where it is cut."""
+    """One line of at most n bytes, with an ellipsis where it is cut; a character that the cut would split goes whole."""
     line = F.replace(text, F.lit("\n"), F.lit(" "))
-    return F.when(F.char_length(line) > n, F.concat(F.substring(line, 1, n), F.lit("…"))).otherwise(line)
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(line, "UTF-8"), 1, n).cast("string")), "\uFFFD+$", "")
+    return F.when(F.octet_length(line) > n, F.concat(cut, F.lit("…"))).otherwise(line)
 
 
 def luhn_valid(number: Column) -> Column:
     """Card numbers of 13 to 19 digits, blanks and dashes ignored, that pass the check digit."""
     digits = F.regexp_replace(number, "[ -]", "")
-    return F.coalesce(digits.rlike(r"\A[0-9]{13,19}\z") & F.luhn_check(digits), F.lit(False))
+    return F.coalesce(digits.rlike(r"\A[0-9]{13,19}\z") & F.call_function("luhn_check", digits), F.lit(False))
 
 
 def word_hash(word: Column) -> Column:
