@@ -1,9 +1,19 @@
-"""Corpus maintenance: what changed, what is pending, listings and profiles."""
+"""Corpus maintenance: what changed, what is pending, deletes, listings, profiles, drift, plans, quarantine and threat sources."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusmill.functions import scoring
+
+# Upper bounds in seconds of the latency histograms' buckets.
+QUERY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5)
+INGEST_BUCKETS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1, 5)
 
 
 def scan_diff(disk: DataFrame, stored: DataFrame) -> DataFrame:
@@ -13,17 +23,229 @@ def scan_diff(disk: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("file_path", status.alias("status"))
 
 
-def pending(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Chunks without a vector."""
-    return chunks.join(embeddings.select("chunk_id"), "chunk_id", "left_anti")
+def new_content(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows whose content is not stored yet, one of each content: the one with the least path."""
+    first = Window.partitionBy("content_hash").orderBy("file_path")
+    fresh = rows.join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
+    return fresh.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+
+
+def pending(chunks: DataFrame, embeddings: DataFrame, model: str | None = None) -> DataFrame:
+    """Chunks without a vector, or without one of ``model``."""
+    have = embeddings.filter(F.col("model") == model) if model else embeddings
+    return chunks.join(have.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """``documents``, ``chunks`` and all tables by chunk_id without the documents in ``gone`` (document_id); fingerprints and verdicts go with their chunks."""
+    ids = gone.select("document_id").distinct()
+    lost = tables["chunks"].join(ids, "document_id", "left_semi").select("chunk_id")
+    return {name: rows.join(ids, "document_id", "left_anti") if "document_id" in rows.columns else rows.join(lost, "chunk_id", "left_anti") for name, rows in tables.items()}
+
+
+def files_listing(documents: DataFrame) -> DataFrame:
+    """(file_path, file_type, chunk_count, status) by path; the sort is by range, not in one task."""
+    return documents.select("file_path", "file_type", "chunk_count", "status").orderBy("file_path")
 
 
 def dirs_rollup(documents: DataFrame) -> DataFrame:
-    """(dir, n_files, n_bytes) by directory of ``file_path``; one partial aggregation."""
+    """(dir, n_files, n_chunks) by directory of ``file_path``; one partial aggregation."""
     directory = F.regexp_extract("file_path", r"\A(.*)/[^/]*\z", 1)
-    return documents.groupBy(directory.alias("dir")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
+    return documents.groupBy(directory.alias("dir")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("chunk_count").cast("long").alias("n_chunks"))
+
+
+def status_counts(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """One row of counts, each table read once: documents, enriched, chunks, suspicious, quarantined, embeddings, pending and, with fingerprint classes, copies."""
+    count = lambda when: F.count(F.when(when, 1))
+    enriched = count(F.col("enrichment.status") == "enriched") if "enrichment" in documents.columns else F.lit(0).cast("long")
+    level = F.col("level") if "level" in chunks.columns else F.lit("clean")
+    docs = documents.agg(F.count(F.lit(1)).alias("documents"), enriched.alias("enriched"))
+    parts = chunks.agg(F.count(F.lit(1)).alias("chunks"), count(level == "suspicious").alias("suspicious"), count(level == "quarantine").alias("quarantined"))
+    vectors = embeddings.agg(F.count_distinct("chunk_id").alias("embeddings"))
+    left = pending(chunks.select("chunk_id"), embeddings).agg(F.count(F.lit(1)).alias("pending"))
+    out = docs.crossJoin(F.broadcast(parts)).crossJoin(F.broadcast(vectors)).crossJoin(F.broadcast(left))  # single rows
+    return out if classes is None else out.crossJoin(F.broadcast(classes.filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("near_copies"))))
 
 
 def embedding_profile(vectors: DataFrame) -> DataFrame:
-    """(dim, n) of the stored vectors."""
-    return vectors.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    """(model, convention, dim, n) of the stored vectors; what a table lacks is empty."""
+    named = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in vectors.columns else F.lit("").alias(c) for c in ("model", "convention")]
+    return vectors.select(*named, F.size("vector").alias("dim")).groupBy("model", "convention", "dim").agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataclass(frozen=True)
+class Profile:
+    """Counts by model, dimension and convention, with the commonest of each; of equal counts the smallest."""
+
+    models: dict[str, int]
+    dims: dict[int, int]
+    conventions: dict[str, int]
+
+    @property
+    def total(self) -> int:
+        return sum(self.models.values())
+
+    @property
+    def consistent(self) -> bool:
+        return max(map(len, (self.models, self.dims, self.conventions))) <= 1
+
+    def majority(self) -> tuple[str, int, str]:
+        first = lambda d, none: min(d, key=lambda k: (-d[k], k)) if d else none
+        return first(self.models, ""), first(self.dims, 0), first(self.conventions, "")
+
+
+def corpus_profile(vectors: DataFrame) -> Profile:
+    """A row for each kind of vector reaches the driver: as many as there are models, conventions and lengths."""
+    counts: tuple[dict, dict, dict] = ({}, {}, {})
+    for r in embedding_profile(vectors).collect():
+        for into, key in zip(counts, (r["model"], r["dim"], r["convention"]), strict=True):
+            into[key] = into.get(key, 0) + r["n"]
+    return Profile(*counts)
+
+
+class MismatchError(ValueError):
+    """Queries would be compared with vectors of another kind."""
+
+
+def guard(profile: Profile, model: str, dim: int, convention: str) -> None:
+    """Raises unless the corpus is empty or its vectors are of one convention, and of the query's kind."""
+    if not profile.total:
+        return
+    most = profile.majority()
+    if len(profile.conventions) > 1:
+        raise MismatchError(f"vectors of {len(profile.conventions)} conventions; embed the corpus again")
+    for name, have, want in (("convention", most[2], convention), ("model", most[0], model), ("dimension", most[1], dim)):
+        if have != want:
+            raise MismatchError(f"{name} of the corpus is {have!r}, of the query {want!r}")
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What vectors were made with; an empty or zero field is unknown."""
+
+    model: str = ""
+    dim: int = 0
+    convention: str = ""
+    version: str = ""
+
+
+def drift(baseline: Kind | None, live: Kind, profile: Profile | None = None) -> tuple[str, list[str], Kind | None]:
+    """(verdict, reasons, baseline): ``n/a``, ``clean``, ``hard-drift``, ``version-warning`` or ``unknown``.
+
+    Without a baseline one is made from what most stored vectors have. Model, length and convention
+    come first; the server's version is compared only where both are known.
+    """
+    if baseline is None:
+        if profile is None or not profile.total:
+            return "n/a", [], None
+        baseline = Kind(*profile.majority(), live.version)
+    reasons = [f"{name}: {was} vs {now}" for name, was, now in (("model", baseline.model, live.model), ("dim", baseline.dim, live.dim)) if was and now and was != now]
+    if baseline.convention != live.convention:
+        reasons.append(f"convention: {baseline.convention!r} vs {live.convention!r}")
+    if reasons:
+        return "hard-drift", reasons, baseline
+    known = [v not in ("", "unknown") for v in (baseline.version, live.version)]
+    if all(known) and baseline.version != live.version:
+        return "version-warning", [f"version: {baseline.version} vs {live.version}"], baseline
+    return ("unknown" if live.version == "unknown" and baseline.version else "clean"), [], baseline
+
+
+def ready(verdict: str) -> bool:
+    """Whether queries may be served: not while vectors are of another kind."""
+    return verdict != "hard-drift"
+
+
+def baseline_frame(spark: SparkSession, baseline: Kind) -> DataFrame:
+    """A baseline as a row, to be stored."""
+    return spark.createDataFrame([tuple(asdict(baseline).values())], "model string, dim int, convention string, version string")
+
+
+def embeddings_per_model(vectors: DataFrame) -> DataFrame:
+    """(model, n), rows without a model left out."""
+    return vectors.filter("model <> ''").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+def migration_plan(vectors: DataFrame, target: str) -> DataFrame:
+    """(model, n, stale) by model: what a change to ``target`` would embed again. Reads only."""
+    return embeddings_per_model(vectors).withColumn("stale", F.col("model") != target)
+
+
+def migrate(chunks: DataFrame, vectors: DataFrame, target: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All vectors with ``target`` as their model: what has it stays, the other chunks are embedded again."""
+    stays = vectors.filter(F.col("model") == target)
+    return stays.unionByName(embed(pending(chunks, stays)))
+
+
+def quarantine_list(chunks: DataFrame, levels: tuple[str, ...] = ("suspicious", "quarantine")) -> DataFrame:
+    """Flagged chunks, the worst first."""
+    return chunks.filter(F.col("level").isin(*levels)).orderBy(F.col("score").desc(), "chunk_id")
+
+
+def level_of(score: Column) -> Column:
+    return F.when(score >= scoring.QUARANTINE, "quarantine").when(score >= scoring.SUSPICIOUS, "suspicious").otherwise("clean")
+
+
+def release(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks in ``ids`` are released, which a rescan doesn't undo."""
+    named = ids.select("chunk_id").distinct().withColumn("_named", F.lit(True))
+    return chunks.join(named, "chunk_id", "left").withColumn("level", F.when(F.col("_named"), "released").otherwise(F.col("level"))).drop("_named")
+
+
+def reset(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks in ``ids`` get the level of their stored score again."""
+    named = ids.select("chunk_id").distinct().withColumn("_named", F.lit(True))
+    return chunks.join(named, "chunk_id", "left").withColumn("level", F.when(F.col("_named"), level_of(F.col("score"))).otherwise(F.col("level"))).drop("_named")
+
+
+def rescan(chunks: DataFrame, phrases: tuple[str, ...] = scoring.PHRASES) -> DataFrame:
+    """Chunks scored anew with ``phrases``. Level and phrases change only where the score does; what was released stays so."""
+    kept = chunks.columns
+    was = chunks.select(*(F.col(c).alias(f"_was_{c}" if c in ("score", "level", "matched_phrases") else c) for c in kept))
+    now = scoring.poison_scores(was, "content", phrases)
+    moved = (F.col("_was_level") != "released") & (F.round("score", 9) != F.round("_was_score", 9))
+    changing = [c for c in ("score", "level", "matched_phrases") if c in kept]
+    return now.select(*(F.when(moved, F.col(c)).otherwise(F.col(f"_was_{c}")).alias(c) if c in changing else c for c in kept))
+
+
+@dataclass(frozen=True)
+class ThreatSource:
+    """A list of phrases from elsewhere. Fetching it is the caller's."""
+
+    id: str
+    phrases: tuple[str, ...]
+    enabled: bool = True
+    origin: str = ""
+    version: str = ""
+
+
+@dataclass
+class ThreatSources:
+    """The lists of a corpus; ``phrases`` is what a rescan takes: the built-in ones and those of enabled lists, each once, in order."""
+
+    sources: dict[str, ThreatSource] = field(default_factory=dict)
+
+    def put(self, source: ThreatSource) -> None:
+        self.sources[source.id] = source
+
+    def enable(self, id: str, on: bool = True) -> None:
+        self.sources[id] = ThreatSource(**{**asdict(self.sources[id]), "enabled": on})
+
+    def remove(self, id: str) -> None:
+        del self.sources[id]
+
+    def phrases(self) -> tuple[str, ...]:
+        own = {p.strip().lower() for s in self.sources.values() if s.enabled for p in s.phrases if p.strip()}
+        return tuple(sorted({*scoring.PHRASES, *own}))
+
+
+def to_enrich(documents: DataFrame) -> DataFrame:
+    """Documents whose enrichment is missing or didn't succeed."""
+    return documents.filter(F.coalesce(F.col("enrichment.status"), F.lit("")) != "enriched")
+
+
+def latency_histogram(durations: DataFrame, seconds: str = "seconds", bounds: tuple[float, ...] = QUERY_BUCKETS) -> DataFrame:
+    """(le, n): durations in each bucket, by its upper bound; what is above the last has an infinite one. Empty buckets are left out."""
+    le = F.lit(float("inf"))
+    for bound in reversed(bounds):
+        le = F.when(F.col(seconds) <= bound, float(bound)).otherwise(le)
+    return durations.groupBy(le.alias("le")).agg(F.count(F.lit(1)).alias("n"))
