@@ -24,9 +24,13 @@ stats AS (SELECT count(*) AS n, sum(dl) AS total FROM dl)"""
 BM25 = rf"""{TERMS},
 qt AS (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}]+'), lambda x: x NOT IN ({STOP}))) AS term FROM benchmark),
 q AS (SELECT item_id, term, count(*) AS weight FROM qt GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+vocabulary AS (SELECT DISTINCT term AS word FROM postings),
+words AS (SELECT term, term AS word FROM (SELECT DISTINCT term FROM q) UNION ALL
+  SELECT term, word FROM (SELECT DISTINCT term FROM q WHERE strlen(term) < 4 AND term NOT IN (SELECT word FROM vocabulary)) JOIN vocabulary ON starts_with(word, term)),
+found AS (SELECT words.term, doc_id, sum(tf) AS tf FROM words JOIN postings ON postings.term = words.word GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM found GROUP BY term),
 scored AS (SELECT item_id, doc_id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (total / n)))), 9) AS score
-  FROM q JOIN postings USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN stats GROUP BY ALL),
+  FROM q JOIN found USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN stats GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored),
 hits AS (SELECT * FROM ranked WHERE rank <= 60)"""
 KNN = """q AS (SELECT vec_id AS query_id, label AS wanted, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
@@ -88,7 +92,7 @@ def corpus_stats(spark, sf_dir):
 
 def _bm25_hits(spark, sf_dir):
     chunks = _documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.bm25(_benchmark(spark, sf_dir), chunks, prefixes=False)
+    return retrieval.bm25(_benchmark(spark, sf_dir), chunks)
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM hits")
@@ -171,12 +175,7 @@ def pending_embeddings(spark, sf_dir):
     return maintenance.pending(chunks, _vectors(spark, sf_dir)).withColumnRenamed("chunk_id", "doc_id")
 
 
-@query("SELECT source AS dir, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
-def dirs_rollup(spark, sf_dir):
-    return maintenance.dirs_rollup(_documents(spark, sf_dir))
-
-
-@query("SELECT CAST(len(embedding) AS INTEGER) AS dim, count(*) AS n FROM embeddings GROUP BY 1")
+@query("SELECT '' AS model, '' AS convention, CAST(len(embedding) AS INTEGER) AS dim, count(*) AS n FROM embeddings GROUP BY 3")
 def embedding_profile(spark, sf_dir):
     return maintenance.embedding_profile(_vectors(spark, sf_dir))
 
@@ -186,9 +185,11 @@ def token_estimate(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", text.token_estimate(F.coalesce("text", F.lit(""))).alias("n_tokens"))
 
 
-@query()
+@query(f"""WITH {BM25}, cut AS (SELECT item_id, doc_id, score, rank FROM hits WHERE rank <= 5)
+SELECT item_id AS query_id, doc_id AS chunk_id, doc_id AS document_id, round(CASE WHEN best > 0 THEN score / best ELSE score END, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM cut)""")
 def keyword_retrieve(spark, sf_dir):
     """The flagship: the benchmark's passages against all documents, filter to threshold."""
     docs = _documents(spark, sf_dir)
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", "file_path")
-    return retrieval.retrieve(_benchmark(spark, sf_dir), chunks, None, None, retrieval.Request(mode="keyword"))
+    hits = retrieval.retrieve(_benchmark(spark, sf_dir), chunks, None, None, retrieval.Request(mode="keyword"))
+    return hits.select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("int").alias("rank"))

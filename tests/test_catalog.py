@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from corpusmill.plans import catalog
+from corpusmill.plans import catalog, corpus_queries  # noqa: F401 - registers its queries
 
 TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
