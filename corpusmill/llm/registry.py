@@ -30,7 +30,7 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(_table(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "common_distance", "base_failed", "kept")
 
 
 def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
