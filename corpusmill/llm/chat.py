@@ -55,6 +55,18 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens")))
 
 
+def mixed_parts(text: Column) -> Column:
+    """A turn with attachments that its text's length n chooses: an image before the text where 3 divides n, after it an audio part of n tokens where 5 does, a document where 7 does."""
+    n = F.char_length(F.coalesce(text, F.lit("")))
+
+    def part(kind: str, every: int, tokens: Column) -> Column:
+        ref = F.concat(F.lit(f"{kind}/"), n.cast("string"))
+        return F.when(n % every == 0, F.struct(F.lit(kind).alias("type"), F.lit(None).cast("string").alias("text"), ref.alias("ref"), tokens.cast("long").alias("tokens")))
+
+    none = F.lit(None)
+    return F.concat(F.array(part("image", 3, none)), text_part(text), F.array(part("audio", 5, n), part("document", 7, none)))
+
+
 def flatten_parts(messages: DataFrame, visitor: PartVisitor | None = None) -> DataFrame:
     """Adds ``flat`` (text and placeholders in order), ``attachments`` (position, type, ref, tokens) and ``expanded_tokens``.
 
@@ -108,28 +120,47 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:
-    """Formats ``conversations`` (conv_id, turn, role, text) and digests what is read back. Other columns are not read."""
-    messages = conversations.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))
-    back = read_back(format_conversations(messages))
+    """Formats ``conversations`` (conv_id, turn, role, text) and digests what is read back.
+
+    Each is formatted twice in one pass: as it is, which gives the digests of turns and loss, and with
+    the attachments of ``mixed_parts``, which gives mixed_chars, n_attachments, expanded_tokens and the
+    digest of the attachment records in order. Null texts and roles read as empty; a null conv_id is
+    one conversation; repeated rows are turns of their own; a very long text is one line of its
+    conversation; an empty table gives no rows. Other columns, whatever their names, are not read.
+    """
+    both = F.array(F.struct(F.lit(False).alias("mixed"), text_part(F.col("text")).alias("parts")), F.struct(F.lit(True).alias("mixed"), mixed_parts(F.col("text")).alias("parts")))
+    turns = conversations.select("conv_id", "turn", "role", F.explode(both).alias("b"))
+    back = read_back(format_conversations(turns.select(F.struct("conv_id", "b.mixed").alias("conv_id"), "turn", "role", "b.parts")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
-        "conv_id",
+    noted = F.array_join(F.transform("attachments", lambda a: F.concat(F.concat_ws(":", a["turn"].cast("string"), a["at"].cast("string"), a["type"], a["ref"], a["tokens"].cast("string")), F.lit("\n"))), "")
+    plain = F.struct(
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+    mixed = F.struct(
+        F.char_length("formatted").cast("long").alias("mixed_chars"),
         F.size("attachments").cast("long").alias("n_attachments"),
         "expanded_tokens",
+        F.sha2(noted, 256).alias("attachments_sha256"),
     )
+    digests = back.select("conv_id.conv_id", F.when(~F.col("conv_id.mixed"), plain).alias("plain"), F.when(F.col("conv_id.mixed"), mixed).alias("mixed"))
+    return digests.groupBy("conv_id").agg(F.max("plain").alias("plain"), F.max("mixed").alias("mixed")).select("conv_id", "plain.*", "mixed.*")
 
 
 CHAT_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
-e AS (SELECT *, length(role) + length(text) + len(regexp_extract_all(role || text, '[\\#<:]')) + 14 AS n FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+e AS (SELECT *, length(text) AS l, length(role) + length(text) + len(regexp_extract_all(role || text, '[\\#<:]')) + 14 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS t FROM c),
+a AS (SELECT conv_id, t, 0 AS spot, 'image' AS type, 'image/' || l AS ref, 576 AS tokens FROM e WHERE l % 3 = 0
+  UNION ALL SELECT conv_id, t, 1 + (l % 3 = 0)::INTEGER, 'audio', 'audio/' || l, l FROM e WHERE l % 5 = 0
+  UNION ALL SELECT conv_id, t, 1 + (l % 3 = 0)::INTEGER + (l % 5 = 0)::INTEGER, 'document', 'document/' || l, 1024 FROM e WHERE l % 7 = 0),
+s AS (SELECT conv_id, count(*) AS n, sum(tokens) AS tokens, sum(length(type) + 6) AS chars, string_agg(t || ':' || spot || ':' || type || ':' || ref || ':' || tokens || chr(10), '' ORDER BY t, spot) AS said FROM a GROUP BY conv_id),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
-FROM e GROUP BY conv_id
+  CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT g.*, formatted_chars + CAST(coalesce(chars, 0) AS BIGINT) AS mixed_chars, coalesce(s.n, 0) AS n_attachments, CAST(coalesce(tokens, 0) AS BIGINT) AS expanded_tokens, sha256(coalesce(said, '')) AS attachments_sha256
+FROM g LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM g.conv_id
 """
