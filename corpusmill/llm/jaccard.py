@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: partition signatures, pivots, triangle-inequality windows, blocks; exact."""
+"""N-gram Jaccard join: signature cells choose pivots, triangle-inequality windows replicate what lies near a boundary, crowded windows fall into Voronoi regions recursively; exact."""
 
 from __future__ import annotations
 
@@ -21,8 +21,10 @@ from corpusmill.llm.passages import MULTIPLIER, WordHasher, gram_hashes, mixed
 
 #: Nodes and their locators, three numbers each, that may be broadcast: 100 bytes in a hash table, so 50 MB; beyond it the texts are shuffled to them.
 BROADCAST_NODES = 500_000
-#: Members of a region that meet in one task; larger regions are joined block by block.
-REGION_ROWS = 1024
+#: Members of a region that meet in one task, and shingles that they have together; a larger region is split by new pivots.
+REGION_ROWS, REGION_SHINGLES = 1024, 2_000_000
+#: Pivots that a crowded region gets, how often regions are split, and the share of its region from which a part counts as no smaller.
+PIVOTS, DEPTH, STUCK = 8, 6, 0.75
 
 
 @dataclass(frozen=True)
@@ -156,12 +158,12 @@ def candidate_regions(nodes: DataFrame) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """(pivot, node, distance, linked) for rows with both texts. A pivot's set is kept while its rows last."""
+    """(region, pivot, node, distance, linked, size) for rows with both texts. A pivot's set is kept while its rows last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, last, mine = WordHasher(), None, np.empty(0, dtype=np.uint64)
         for batch in batches:
-            pivots, distances, links = batch.column("pivot").to_pylist(), [], []
+            pivots, distances, links, sizes = batch.column("pivot").to_pylist(), [], [], []
             for at, text in enumerate(batch.column("text")):
                 if pivots[at] != last:
                     last, mine = pivots[at], shingles(words_of(batch.column("pivot_text")[at].as_py()), hasher, rule.gram)
@@ -169,9 +171,16 @@ def _measured(pairs: DataFrame, rule: Rule) -> DataFrame:
                 shared = len(np.intersect1d(mine, found, assume_unique=True))
                 distances.append(1 - shared / max(1, len(mine) + len(found) - shared))
                 links.append(rule.linked(shared, len(mine), len(found)))
-            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node"), pa.array(distances, pa.float64()), pa.array(links, pa.bool_())], names=["pivot", "node", "distance", "linked"])
+                sizes.append(len(found))
+            made = [pa.array(distances, pa.float64()), pa.array(links, pa.bool_()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "pivot", "node")), *made], names=["region", "pivot", "node", "distance", "linked", "size"])
+
+    return pairs.select("region", "pivot", "pivot_text", "node", "text").mapInArrow(run, "region long, pivot long, node long, distance double, linked boolean, size long")
 
-    return pairs.select("pivot", "pivot_text", "node", "text").mapInArrow(run, "pivot long, node long, distance double, linked boolean")
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of a pivot and a node with both texts."""
+    return pairs.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
 
 
 def region_links(nodes: list[int], sets: list[np.ndarray], near: list[bool], guest: list[bool], left: list[bool], right: list[bool], rule: Rule) -> list[tuple[int, int]]:
@@ -211,26 +220,66 @@ def region_links(nodes: list[int], sets: list[np.ndarray], near: list[bool], gue
     return links
 
 
-def _remaining_links(measured: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Links between members of a region other than through its pivot.
+def _pivot_windows(measured: DataFrame, rule: Rule) -> DataFrame:
+    """(region, node, near, guest, size): windows of one radius by the distance from the pivot.
 
-    Only regions with a member beyond the radius have such. Members are dealt to windows of one
-    radius by their distance from the pivot; by the triangle inequality a link joins members of one
-    window or of neighbours, so each also stands as guest in the next. A window of more than
-    REGION_ROWS members is split into blocks, and every pair of blocks meets in a task of its own.
+    Only regions with a member beyond the radius have links other than through the pivot. By the
+    triangle inequality a link joins members of one window or of neighbours, so each also stands
+    as guest in the next.
     """
-    far = measured.filter(~F.col("linked")).groupBy("pivot").agg(F.min("distance").alias("_least"))
+    far = written(measured.filter(~F.col("linked")).groupBy("pivot").agg(F.min("distance").alias("least")), "far")
     width = rule.radius + 1e-9
-    held = measured.join(far, "pivot").filter(~F.col("linked") | (F.col("distance") >= F.col("_least") - width))
+    held = measured.join(far, "pivot").filter(~F.col("linked") | (F.col("distance") >= F.col("least") - width))
     home = F.floor(F.col("distance") / width).cast("int")
-    stands = held.select("pivot", "node", F.col("linked").alias("near"), F.posexplode(F.array(home, home + 1)).alias("guest", "window"))
-    stands = written(stands.withColumn("guest", F.col("guest") == 1), "windows")
-    sizes = stands.groupBy("pivot", "window").agg(F.count(F.lit(1)).alias("_n"), F.min("guest").alias("_empty")).filter("_n > 1 AND NOT _empty")
-    blocks = F.ceil(F.col("_n") / REGION_ROWS).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    met = stands.join(sizes.withColumn("_blocks", blocks), ["pivot", "window"]).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    stands = held.select("pivot", "node", F.col("linked").alias("near"), "size", F.posexplode(F.array(home, home + 1)).alias("guest", "window"))
+    return stands.select(F.xxhash64("pivot", "window").alias("region"), "node", "near", (F.col("guest") == 1).alias("guest"), "size")
+
+
+def _voronoi(crowded: DataFrame, texts: DataFrame, rule: Rule, depth: int) -> DataFrame:
+    """Splits crowded regions (region, node, near, guest, size, n) into Voronoi regions of new pivots; ``before`` is the size of the region split.
+
+    Each region draws up to PIVOTS of its members by a hash. A member goes to the nearest pivot, and as
+    a visitor to every other that is at most twice the radius further: if x and y link and y's
+    nearest pivot is q, then d(x, q) <= d(y, q) + r <= d(y, p) + r <= d(x, p) + 2r for x's own pivot p.
+    """
+    draw = F.xxhash64("node", F.lit(depth))
+    pivots = crowded.groupBy("region", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by("node", draw).alias("pivot")).select("region", "pivot")
+    pairs = crowded.select("region", "node").join(pivots, "region")
+    measured = written(_measured(_with_texts(pairs, texts), rule).select("region", "pivot", "node", "distance"), "distances")
+    nearest = written(measured.groupBy("region", "node").agg(F.min("distance").alias("least")), "nearest")
+    reach = measured.join(nearest, ["region", "node"]).filter(F.col("distance") <= F.col("least") + 2 * rule.radius + 1e-9)
+    cells = reach.join(crowded, ["region", "node"])
+    return cells.select(F.xxhash64("region", "pivot").alias("region"), "node", "near", "guest", "size", F.col("n").alias("before"))
+
+
+def _bounded_regions(regions: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(region, node, near, guest, blocks): regions split until their members can meet in one task.
+
+    What new pivots don't make smaller, as when all members lie within twice the radius of all, is dealt to blocks.
+    """
+    regions, done = written(regions.withColumn("before", F.lit(None).cast("long")), "windows"), None
+    for depth in range(DEPTH + 1):
+        # written, so that the join below can be split at a hot region
+        sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("guest").alias("empty"), F.max("before").alias("was")).filter("n > 1 AND NOT empty")
+        blocks = F.ceil(F.greatest(F.col("n") / REGION_ROWS, F.col("weight") / REGION_SHINGLES)).cast("int")
+        stuck = F.coalesce(F.col("n") > STUCK * F.col("was"), F.lit(False)) | F.lit(depth == DEPTH)
+        sizes = written(sizes.select("region", "n", blocks.alias("blocks"), ((blocks > 1) & ~stuck).alias("crowded")), "sizes")
+        known = regions.select("region", "node", "near", "guest", "size").join(sizes, "region")
+        calm = known.filter("NOT crowded").select("region", "node", "near", "guest", "blocks")
+        done = calm if done is None else done.unionByName(calm)
+        if not sizes.filter("crowded").limit(1).count():
+            return done
+        regions = written(_voronoi(known.filter("crowded").drop("blocks", "crowded"), texts, rule, depth), "voronoi")
+    return done
+
+
+def _remaining_links(measured: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Links between members of a region other than through its pivot: all members of a bounded region meet in a task, or block by block."""
+    bounded = _bounded_regions(_pivot_windows(measured, rule), texts, rule)
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = bounded.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high")
-    keyed = met.select("pivot", "window", low, high, "node", "near", "guest", (F.col("_mine") == F.least("_mine", "_other")).alias("left"), (F.col("_mine") == F.greatest("_mine", "_other")).alias("right"))
+    keyed = met.select("region", low, high, "node", "near", "guest", (F.col("_mine") == F.least("_mine", "_other")).alias("left"), (F.col("_mine") == F.greatest("_mine", "_other")).alias("right"))
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         hasher = WordHasher()
@@ -239,7 +288,7 @@ def _remaining_links(measured: DataFrame, texts: DataFrame, rule: Rule) -> DataF
         links = region_links(rows["node"].tolist(), sets, *(rows[c].tolist() for c in ("near", "guest", "left", "right")), rule)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return keyed.join(texts, "node").groupBy("pivot", "window", "low", "high").applyInPandas(join, "a long, b long")
+    return keyed.join(texts, "node").groupBy("region", "low", "high").applyInPandas(join, "a long, b long")
 
 
 def link_documents(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -255,12 +304,13 @@ def link_documents(rows: DataFrame, rule: Rule) -> DataFrame:
     wanted = written(regions.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(member.filter("id = node").select("node", "f", "r"), "node"), "wanted")
     small = wanted.count() <= BROADCAST_NODES
     texts = written(rows.select("f", "r", body().alias("text")).join(F.broadcast(wanted) if small else wanted, ["f", "r"]).select("node", "text"), "candidates")
-    pairs = regions.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    measured = written(_measured(pairs, rule), "distances")
+    measured = written(_measured(_with_texts(regions.withColumn("region", F.col("pivot")), texts), rule), "distances")
     links = measured.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(_remaining_links(measured, texts, rule))
     found = connected_components(links)
     placed = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first"))
+    placed = written(placed, "placed")
+    # written, so that the join can be split at a large component
+    least = written(placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first")), "firsts")
     return placed.join(least, "component").select("doc_id", "f", "r", F.col("n").alias("n_shingles"), (F.col("id") == F.col("first.id")).alias("stays"), F.col("first.doc_id").alias("component_id"))
 
 

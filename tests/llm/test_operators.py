@@ -348,21 +348,32 @@ def test_jaccard_components(docs, rows, rule):
     assert bag(jaccard.jaccard_components(docs, rule), "doc_id", "n_shingles", "component_id") == brute_components(rows, rule)
 
 
-def test_jaccard_group_of_many_edits(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "REGION_ROWS", 8)
+@pytest.mark.parametrize(("limit", "shingles", "rule"), [(8, 10**6, jaccard.Rule()), (4, 10**6, jaccard.Rule(gram=5, num=80, den=100)), (1024, 900, jaccard.Rule())])
+def test_jaccard_crowded_regions_split_recursively(spark, monkeypatch, limit, shingles, rule):
+    """Members near one text, far from one another: windows hold more than a task may, by rows or by shingles."""
+    monkeypatch.setattr(jaccard, "REGION_ROWS", limit)
+    monkeypatch.setattr(jaccard, "REGION_SHINGLES", shingles)
+    depths, voronoi = [], jaccard._voronoi
+    monkeypatch.setattr(jaccard, "_voronoi", lambda *a: depths.append(a[-1]) or voronoi(*a))
     rng = random.Random(11)
-    base = [f"w{rng.randrange(400)}" for _ in range(90)]
-    rows = []
-    for i in range(90):
+    rows, base = [], [f"w{rng.randrange(400)}" for _ in range(90)]
+    branches = []
+    for b in range(4):
         w = list(base)
+        for i in rng.sample(range(90), 4):
+            w[i] = f"b{b}x{i}"
+        branches.append(w)
+    for i in range(90):
+        w = list(rng.choice([base, *branches]))
         for _ in range(rng.choice((0, 1, 1, 2, 3, 5))):
             w[rng.randrange(len(w))] = f"v{rng.randrange(30)}"
         rows.append((i, " ".join(w)))
-    rule = jaccard.Rule()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert bag(jaccard.jaccard_components(df, rule), "doc_id", "n_shingles", "component_id") == brute_components(rows, rule)
-    kept = {r.doc_id for r in jaccard.drop_near_copies(df, rule).collect()}
-    assert kept == {c for _, _, c in brute_components(rows, rule)}
+    assert depths and depths[0] == 0
+    if limit == 8:
+        kept = {r.doc_id for r in jaccard.drop_near_copies(df, rule).collect()}
+        assert kept == {c for _, _, c in brute_components(rows, rule)}
 
 
 def test_jaccard_empty(nothing):
