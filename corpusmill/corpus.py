@@ -62,14 +62,23 @@ class Corpus:
     def _vectors_of(self, queries: DataFrame) -> DataFrame:
         return embedding.embed_rows(queries, self.embedder, "query_id", "query", "query", self.prefixer()).select("query_id", "vector")
 
-    def search(self, queries: DataFrame, request: retrieval.Request | None = None) -> DataFrame:
+    def _vector_of(self, query: DataFrame, text: str) -> DataFrame:
+        """The vector of one query, from the cache where this model and its prefixes made it before."""
+        key = (self.prefixer(), text)
+        vector = self.query_vectors.get(key)
+        if vector is None:
+            vector = self._vectors_of(query).first()["vector"]
+            self.query_vectors.put(key, vector)
+        return self.spark.createDataFrame([("q", vector)], "query_id string, vector array<float>")
+
+    def search(self, queries: DataFrame, request: retrieval.Request | None = None, asked: DataFrame | None = None) -> DataFrame:
         """Hits of a batch of queries (query_id, query), with text, path and, where asked for, neighbours."""
         request = request or retrieval.Request(pool=self.config.pool_size, rrf_k=self.config.rrf_k, adaptive=self.config.adaptive, retry=self.config.retry, default_k=self.config.default_k, most_k=self.config.most_k)
         queries, chunks = retrieval.normalised_queries(queries), self.chunks()
-        vectors = asked = near_rows = None
+        vectors = near_rows = None
         if request.mode != "keyword":
             stored = self.vault.read("embeddings").dropDuplicates(["chunk_id", "model"])
-            asked = self._vectors_of(queries)
+            asked = asked if asked is not None else self._vectors_of(queries)
             first = asked.first()
             maintenance.guard(maintenance.corpus_profile(stored), self.embedder.model, len(first["vector"]) if first else 0, self.prefixer().resolved()[0])
             vectors = stored.select("chunk_id", "vector")
@@ -85,7 +94,9 @@ class Corpus:
         key = (text, request, self.epoch, hashlib.sha256(repr(sorted(asdict(self.config).items())).encode()).hexdigest())
         found = self.results.get(key)
         if found is None:
-            rows = self.search(self.spark.createDataFrame([("q", text)], "query_id string, query string"), request).orderBy("rank").collect()
+            one = retrieval.normalised_queries(self.spark.createDataFrame([("q", text)], "query_id string, query string"))
+            vector = None if request is not None and request.mode == "keyword" else self._vector_of(one, text)
+            rows = self.search(one, request, vector).orderBy("rank").collect()
             found = [r.asDict(recursive=True) for r in rows]
             if not any(r.get("rerank_failed") for r in found):
                 self.results.put(key, found)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import scoring, text
 from corpusmill.operators import evaluation, maintenance, retrieval
+from corpusmill.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,9 +91,14 @@ def corpus_stats(spark, sf_dir):
     return retrieval.corpus_stats(retrieval.lengths(_documents(spark, sf_dir), chunk_id="doc_id"))
 
 
+def _index(chunks: DataFrame) -> retrieval.TextIndex:
+    """The index of chunks, written once and read by what follows."""
+    return retrieval.build_index(chunks, lambda name, rows: written(rows, name))
+
+
 def _bm25_hits(spark, sf_dir):
     chunks = _documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.bm25(_benchmark(spark, sf_dir), chunks)
+    return retrieval.bm25(_benchmark(spark, sf_dir), _index(chunks))
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM hits")
@@ -191,5 +197,5 @@ def keyword_retrieve(spark, sf_dir):
     """The flagship: the benchmark's passages against all documents, filter to threshold."""
     docs = _documents(spark, sf_dir)
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", "file_path")
-    hits = retrieval.retrieve(_benchmark(spark, sf_dir), chunks, None, None, retrieval.Request(mode="keyword"))
+    hits = retrieval.retrieve(_benchmark(spark, sf_dir), chunks, None, None, retrieval.Request(mode="keyword"), index=_index(chunks))
     return hits.select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("int").alias("rank"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chunking, embedding, redaction, scoring, text
 from corpusmill.operators import evaluation, maintenance, near, retrieval
-from corpusmill.plans.catalog import BM25, KNN, NORM, PATH, SQL, _benchmark, _documents, _vector_queries, _vectors, query
+from corpusmill.plans.catalog import BM25, KNN, NORM, PATH, SQL, _benchmark, _documents, _index, _vector_queries, _vectors, query
+from corpusmill.sources.shared import written
 
 FINGERPRINTS = SQL["simhash_fingerprint"].removeprefix("WITH ").rsplit("\nSELECT doc_id, fingerprint", 1)[0]
 #: A third of the documents get blank lines after sentences, so that paragraphs end chunks too.
@@ -98,7 +99,7 @@ def luhn(spark, sf_dir):
 
 
 def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.simhash(_documents(spark, sf_dir), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    return written(scoring.simhash(_documents(spark, sf_dir), "doc_id").withColumnRenamed("doc_id", "chunk_id"), "fingerprints")
 
 
 @query(f"WITH {FINGERPRINTS} SELECT fingerprint, min(doc_id) AS representative, count(*) AS n FROM f GROUP BY fingerprint")
@@ -110,7 +111,7 @@ def near_dup_classes(spark, sf_dir):
 SELECT x.r AS a, y.r AS b, CAST(bit_count(xor(x.fingerprint, y.fingerprint)) AS INTEGER) AS hamming, 1 - bit_count(xor(x.fingerprint, y.fingerprint)) / 64.0::DOUBLE AS similarity
 FROM k x JOIN k y ON x.r < y.r AND bit_count(xor(x.fingerprint, y.fingerprint)) <= 3""")
 def near_dup_pairs(spark, sf_dir):
-    return near.near_pairs(near.fingerprint_classes(_prints(spark, sf_dir)))
+    return near.near_pairs(written(near.fingerprint_classes(_prints(spark, sf_dir)), "classes"))
 
 
 def _cut_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +126,7 @@ CUT = BM25.replace("lower(text), '[\\p{L}", "lower(array_to_string(list_transfor
 @query(f"WITH {CUT} SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM hits")
 def bm25_prefix_expansion(spark, sf_dir):
     chunks = _documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    hits = retrieval.bm25(_cut_terms(spark, sf_dir), chunks)
+    hits = retrieval.bm25(_cut_terms(spark, sf_dir), _index(chunks))
     return hits.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -148,7 +149,7 @@ def post_pool_filter(spark, sf_dir):
     """The filter comes after the cut to the pool, so a rare language may have fewer hits than asked for."""
     docs = _documents(spark, sf_dir)
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", "file_path", F.array("lang").alias("tags"))
-    hits = retrieval.retrieve(_benchmark(spark, sf_dir), chunks, None, None, retrieval.Request(k=5, mode="keyword", tags=("fr",)))
+    hits = retrieval.retrieve(_benchmark(spark, sf_dir), chunks, None, None, retrieval.Request(k=5, mode="keyword", tags=("fr",)), index=_index(chunks))
     return hits.select(F.lit("post").alias("stage"), "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
 
 
@@ -168,13 +169,13 @@ def adaptive_depth(spark, sf_dir):
 def hybrid_query(spark, sf_dir):
     """Benchmark passages against all chunks by words and by vectors of the deterministic embedder, fused."""
     docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "file_path", F.lit("text").alias("file_type"), F.array("lang").alias("tags"))
-    chunks = _chunks(spark, sf_dir).withColumn("text", F.col("content"))
+    chunks = written(_chunks(spark, sf_dir), "chunks").withColumn("text", F.col("content"))
     embedder = embedding.HashingEmbedder()
     asked = retrieval.normalised_queries(_benchmark(spark, sf_dir))
-    vectors = embedding.embed_rows(chunks, embedder, "chunk_id", "content").select("chunk_id", "vector")
+    vectors = written(embedding.embed_rows(chunks, embedder, "chunk_id", "content").select("chunk_id", "vector"), "vectors")
     wanted = embedding.embed_rows(asked, embedder, "query_id", "query", "query").select("query_id", "vector")
     named = chunks.join(docs, "document_id")
-    hits = retrieval.retrieve(asked, named, vectors, wanted, retrieval.Request(k=5))
+    hits = retrieval.retrieve(asked, named, vectors, wanted, retrieval.Request(k=5), index=_index(chunks))
     return retrieval.assemble(hits, chunks, docs).select("query_id", "chunk_id", "document_id", "file_path", "chunk_index", "rank", F.round("score", 6).alias("score"))
 
 

@@ -417,3 +417,34 @@ def test_the_rest_stands_without_the_training_operators(tmp_path):
     # with the pipeline left behind as well
     (tmp_path / "corpus_pipeline.py").write_bytes((root / "corpus_pipeline.py").read_bytes()) if (root / "corpus_pipeline.py").exists() else None
     assert subprocess.run([sys.executable, "-c", said], cwd=tmp_path, capture_output=True, env={"PATH": "/usr/bin:/bin"}, check=False).returncode == 0
+
+
+def test_pool_utilisation_and_migration(spark):
+    lists = spark.createDataFrame([("q", i) for i in range(3)] + [("p", 1)], "query_id string, chunk_id int")
+    row = retrieval.pool_utilisation(lists, lists.filter("query_id = 'q'"), 3).first()
+    assert (row.n, row.fetched, row.kept, row.saturated) == (2, 4, 3, 1)
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, content string")
+    e = embedding.HashingEmbedder()
+    old = embedding.embed_rows(chunks.limit(1), e, "chunk_id", "content").withColumn("model", F.lit("old"))
+    new = maintenance.migrate(chunks, old.unionByName(embedding.embed_rows(chunks.filter("chunk_id = 'b'"), e, "chunk_id", "content")), e.model, lambda rows: embedding.embed_rows(rows, e, "chunk_id", "content"))
+    assert {(r.chunk_id, r.model) for r in new.collect()} == {("a", e.model), ("b", e.model)}
+    docs = spark.createDataFrame([(1, ("enriched",)), (2, ("failed",)), (3, None)], "document_id int, enrichment struct<status:string>")
+    assert {r.document_id for r in maintenance.to_enrich(docs).collect()} == {2, 3}
+    assert maintenance.baseline_frame(spark, maintenance.Kind("m", 4)).first().dim == 4
+
+
+def test_modes_need_vectors_and_an_unknown_one_is_hybrid(spark):
+    chunks = spark.createDataFrame([("a", "d", "red cats", "p"), ("b", "e", "dogs", "p")], "chunk_id string, document_id string, text string, file_path string")
+    queries = spark.createDataFrame([("q", "cats")], "query_id string, query string")
+    for mode in ("semantic", "hybrid", "nonsense"):
+        with pytest.raises(ValueError, match="needs vectors"):
+            retrieval.retrieve(queries, chunks, None, None, retrieval.Request(mode=mode))
+    e = embedding.HashingEmbedder()
+    vectors = embedding.embed_rows(chunks, e, "chunk_id", "text").select("chunk_id", "vector")
+    asked = embedding.embed_rows(queries, e, "query_id", "query").select("query_id", "vector")
+    got = retrieval.retrieve(queries, chunks, vectors, asked, retrieval.Request(mode="semantic", threshold=0.5)).collect()
+    assert [(r.chunk_id, r.score) for r in got] == [("a", 1.0)]
+    flagged = chunks.withColumn("level", F.when(F.col("chunk_id") == "a", "quarantine").otherwise("clean"))
+    assert retrieval.retrieve(queries, flagged, None, None, retrieval.Request(mode="keyword")).count() == 0
+    ranked = retrieval.retrieve(queries, chunks, vectors, asked, retrieval.Request(k=1), reranker=rerank.OverlapReranker()).collect()
+    assert [(r.chunk_id, r.score, r.rerank_failed) for r in ranked] == [("a", 1.0, False)]
