@@ -1,14 +1,15 @@
-"""Helpers that several operators share: word rules, ASCII case folding, shared-folder tables."""
+"""Helpers that several operators share: word rules, ASCII case folding, row locators; tables in the shared folder come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.sources.shared import new_path, shared_dir, written
+
+__all__ = ["ascii_lower", "body", "columns_named", "located", "new_path", "shared_dir", "words", "written"]
+
 #: Code points that separate words: space and \t \n \v \f \r. ``bytes.split()`` has the same rule.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,31 +64,3 @@ def located(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     path = new_path(docs.sparkSession, "content")
     docs.write.parquet(path)
     return read(docs.sparkSession.read.schema(docs.schema).parquet(path))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them back.
-
-    Unlike executor-local storage, the copy outlives any executor. The files stay until the
-    owner of ``spark.checkpoint.dir`` clears it, as checkpoints do.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
