@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,9 +54,20 @@ def shingles(words: list[bytes], hasher: WordHasher, gram: int) -> np.ndarray:
     return np.unique(gram_hashes(hasher(words), min(gram, len(words))) + np.uint64(len(words) < gram))
 
 
-def words_of(text: str) -> list[bytes]:
+def words_of(text: bytes) -> list[bytes]:
     """``bytes.lower`` folds A-Z only, and ``bytes.split`` splits where words end."""
-    return text.encode().lower().split()
+    return text.lower().split()
+
+
+def _pressed(texts: DataFrame) -> DataFrame:
+    """(node, text) with each text compressed: what is joined to pairs and regions moves as a third of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([press.compress(t.as_py().encode()) for t in batch.column("text")], pa.binary())], names=["node", "text"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, text binary")
 
 
 @lru_cache(maxsize=8)
@@ -119,7 +131,7 @@ def _sets(rows: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             sizes, first, second, cells, needs = [], [], [], [], []
             for text in batch.column("text"):
-                found = shingles(words_of(text.as_py()), hasher, rule.gram)
+                found = shingles(words_of(text.as_py().encode()), hasher, rule.gram)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 sizes.append(len(found))
                 first.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -161,13 +173,13 @@ def _measured(pairs: DataFrame, rule: Rule) -> DataFrame:
     """(region, pivot, node, distance, linked, size) for rows with both texts. A pivot's set is kept while its rows last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last, mine = WordHasher(), None, np.empty(0, dtype=np.uint64)
+        hasher, last, mine, unpress = WordHasher(), None, np.empty(0, dtype=np.uint64), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             pivots, distances, links, sizes = batch.column("pivot").to_pylist(), [], [], []
             for at, text in enumerate(batch.column("text")):
                 if pivots[at] != last:
-                    last, mine = pivots[at], shingles(words_of(batch.column("pivot_text")[at].as_py()), hasher, rule.gram)
-                found = shingles(words_of(text.as_py()), hasher, rule.gram)
+                    last, mine = pivots[at], shingles(words_of(unpress(batch.column("pivot_text")[at].as_py())), hasher, rule.gram)
+                found = shingles(words_of(unpress(text.as_py())), hasher, rule.gram)
                 shared = len(np.intersect1d(mine, found, assume_unique=True))
                 distances.append(1 - shared / max(1, len(mine) + len(found) - shared))
                 links.append(rule.linked(shared, len(mine), len(found)))
@@ -282,9 +294,9 @@ def _remaining_links(measured: DataFrame, texts: DataFrame, rule: Rule) -> DataF
     keyed = met.select("region", low, high, "node", "near", "guest", (F.col("_mine") == F.least("_mine", "_other")).alias("left"), (F.col("_mine") == F.greatest("_mine", "_other")).alias("right"))
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        hasher = WordHasher()
+        hasher, unpress = WordHasher(), zstandard.ZstdDecompressor().decompress
         rows = rows.sort_values(["node", "guest"])
-        sets = [shingles(words_of(t), hasher, rule.gram) for t in rows["text"]]
+        sets = [shingles(words_of(unpress(t)), hasher, rule.gram) for t in rows["text"]]
         links = region_links(rows["node"].tolist(), sets, *(rows[c].tolist() for c in ("near", "guest", "left", "right")), rule)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -303,7 +315,7 @@ def link_documents(rows: DataFrame, rule: Rule) -> DataFrame:
     regions = written(candidate_regions(nodes), "regions")
     wanted = written(regions.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(member.filter("id = node").select("node", "f", "r"), "node"), "wanted")
     small = wanted.count() <= BROADCAST_NODES
-    texts = written(rows.select("f", "r", body().alias("text")).join(F.broadcast(wanted) if small else wanted, ["f", "r"]).select("node", "text"), "candidates")
+    texts = written(_pressed(rows.select("f", "r", body().alias("text")).join(F.broadcast(wanted) if small else wanted, ["f", "r"])), "candidates")
     measured = written(_measured(_with_texts(regions.withColumn("region", F.col("pivot")), texts), rule), "distances")
     links = measured.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(_remaining_links(measured, texts, rule))
     found = connected_components(links)
