@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, chat, exact_dedup, filter_audit, fixity, jaccard, packing, passages, quality, ranked_search, secrets, sharding
+from corpusmill.llm import bpe, chat, exact_dedup, filter_audit, fixity, jaccard, packing, passages, quality, ranked_search, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,13 +65,17 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op1_jump_shards, op2_secret_scan, op3_bpe_codec, op4_quality_rules, op5_merkle_fixity, op6_jaccard_join, op7_exact_dedup, op8_chat_parts, op9_best_fit_packing, op10_substring_dedup, op11_ranked_search, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_secret_scan, op3_bpe_codec, op4_quality_rules, op5_merkle_fixity, op6_jaccard_join, op7_exact_dedup, op8_chat_parts, op9_best_fit_packing, op10_substring_dedup, op11_ranked_search, op12_toxicity, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
