@@ -1,8 +1,8 @@
-"""N-gram Jaccard join: signature cells choose pivots, triangle-inequality windows replicate what lies near a boundary, crowded windows fall into Voronoi regions recursively; exact."""
+"""N-gram Jaccard join: signature cells choose pivots, triangle-inequality windows replicate what lies near a boundary, crowded windows fall into Voronoi regions recursively, and what no pivot divides is joined by its rarest shingles; exact."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,8 +24,12 @@ from corpusmill.llm.passages import MULTIPLIER, WordHasher, gram_hashes, mixed
 BROADCAST_NODES = 500_000
 #: Members of a region that meet in one task, and shingles that they have together; a larger region is split by new pivots.
 REGION_ROWS, REGION_SHINGLES = 1024, 2_000_000
-#: Pivots that a crowded region gets, how often regions are split, and the share of its region from which a part counts as no smaller.
-PIVOTS, DEPTH, STUCK = 8, 6, 0.75
+#: Pivots that a crowded region gets, and how often regions are split.
+PIVOTS, DEPTH = 8, 4
+#: A region is split where no part has more than this share of it and all parts together, members that stand in several included, no more than so many times its members.
+LARGEST, TOGETHER = 0.75, 1.5
+#: Buckets of a region's table of how often its shingles occur, which orders them; any order is exact, a good one makes few pairs.
+SKETCH = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -195,11 +199,11 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
 
 
-def region_links(nodes: list[int], sets: list[np.ndarray], near: list[bool], guest: list[bool], left: list[bool], right: list[bool], rule: Rule) -> list[tuple[int, int]]:
+def region_links(nodes: list[int], sets: list[np.ndarray], label: list[int], guest: list[bool], rule: Rule) -> list[tuple[int, int]]:
     """Links between members of one region, no more than join them up: a link inside a found component is left out.
 
-    An index from shingle to members counts intersections. Two members near the pivot are linked
-    through it already, two guests meet in their own window, and of a block pair each side meets the other.
+    An index from shingle to members counts intersections. Two members with one label are linked
+    through its pivot already (-1 is none), and two guests meet in their own window.
     """
     if len(nodes) < 2:
         return []
@@ -208,7 +212,7 @@ def region_links(nodes: list[int], sets: list[np.ndarray], near: list[bool], gue
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(every, kind="stable")
     values, owner = every[order], owner[order]
-    near_, guest_, left_, right_ = (np.array(x, dtype=bool) for x in (near, guest, left, right))
+    label_, guest_ = np.array(label), np.array(guest, dtype=bool)
     parent = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -224,7 +228,7 @@ def region_links(nodes: list[int], sets: list[np.ndarray], near: list[bool], gue
         shared = np.bincount(owner[spread], minlength=len(sets))
         fits = rule.den * shared >= rule.num * (sizes + len(found) - shared)
         fits[: i + 1] = False
-        fits &= ~(near_ & near_[i]) & ~(guest_ & guest_[i]) & ((left_ & right_[i]) | (right_ & left_[i]))
+        fits &= ~((label_ == label_[i]) & (label_ >= 0)) & ~(guest_ & guest_[i])
         for j in np.flatnonzero(fits).tolist():
             if root(i) != root(j):
                 parent[root(j)] = root(i)
@@ -233,7 +237,7 @@ def region_links(nodes: list[int], sets: list[np.ndarray], near: list[bool], gue
 
 
 def _pivot_windows(measured: DataFrame, rule: Rule) -> DataFrame:
-    """(region, node, near, guest, size): windows of one radius by the distance from the pivot.
+    """(region, node, label, guest, size): windows of one radius by the distance from the pivot; ``label`` is the pivot where it links, else -1.
 
     Only regions with a member beyond the radius have links other than through the pivot. By the
     triangle inequality a link joins members of one window or of neighbours, so each also stands
@@ -243,64 +247,159 @@ def _pivot_windows(measured: DataFrame, rule: Rule) -> DataFrame:
     width = rule.radius + 1e-9
     held = measured.join(far, "pivot").filter(~F.col("linked") | (F.col("distance") >= F.col("least") - width))
     home = F.floor(F.col("distance") / width).cast("int")
-    stands = held.select("pivot", "node", F.col("linked").alias("near"), "size", F.posexplode(F.array(home, home + 1)).alias("guest", "window"))
-    return stands.select(F.xxhash64("pivot", "window").alias("region"), "node", "near", (F.col("guest") == 1).alias("guest"), "size")
+    label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.lit(-1)).alias("label")
+    stands = held.select("pivot", "node", label, "size", F.posexplode(F.array(home, home + 1)).alias("guest", "window"))
+    return stands.select(F.xxhash64("pivot", "window").alias("region"), "node", "label", (F.col("guest") == 1).alias("guest"), "size")
 
 
-def _voronoi(crowded: DataFrame, texts: DataFrame, rule: Rule, depth: int) -> DataFrame:
-    """Splits crowded regions (region, node, near, guest, size, n) into Voronoi regions of new pivots; ``before`` is the size of the region split.
+def _set_of(pressed: bytes, hasher: WordHasher, unpress: Callable[[bytes], bytes], rule: Rule) -> np.ndarray:
+    return shingles(words_of(unpress(pressed)), hasher, rule.gram)
 
-    Each region draws up to PIVOTS of its members by a hash. A member goes to the nearest pivot, and as
-    a visitor to every other that is at most twice the radius further: if x and y link and y's
+
+def _in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members (region, node, ..., blocks) of crowded regions with their texts, each in the block that it has in its region: so many rows and shingles as a task may hold."""
+    return members.join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _to_blocks(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rows of a region for each of its blocks. Columns are named anew, as what they are grouped with has some of the same."""
+    dealt = rows.join(regions.select("region", "blocks"), "region").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return dealt.select(*(F.col(c).alias(c) for c in dealt.columns))
+
+
+def _voronoi(crowded: DataFrame, regions: DataFrame, texts: DataFrame, rule: Rule, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of crowded regions (region, node, label, guest, size, blocks) held against new pivots.
+
+    Each region draws up to PIVOTS of its members by a hash. A text is read once, beside all pivots of its region: ``cells``
+    are the pivots whose Voronoi region it goes to or visits. It goes to the nearest pivot, and as a visitor
+    to every other that is at most twice the radius further: if x and y link and y's
     nearest pivot is q, then d(x, q) <= d(y, q) + r <= d(y, p) + r <= d(x, p) + 2r for x's own pivot p.
+    A member that links with a new pivot and had no label takes it as its label.
     """
     draw = F.xxhash64("node", F.lit(depth))
-    pivots = crowded.groupBy("region", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by("node", draw).alias("pivot")).select("region", "pivot")
-    pairs = crowded.select("region", "node").join(pivots, "region")
-    measured = written(_measured(_with_texts(pairs, texts), rule).select("region", "pivot", "node", "distance"), "distances")
-    nearest = written(measured.groupBy("region", "node").agg(F.min("distance").alias("least")), "nearest")
-    reach = measured.join(nearest, ["region", "node"]).filter(F.col("distance") <= F.col("least") + 2 * rule.radius + 1e-9)
-    cells = reach.join(crowded, ["region", "node"])
-    return cells.select(F.xxhash64("region", "pivot").alias("region"), "node", "near", "guest", "size", F.col("n").alias("before"))
-
+    pivots = crowded.groupBy("region", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by("node", draw).alias("node")).select("region", "node")
+    beside = _to_blocks(pivots.join(texts, "node"), regions)
 
-def _bounded_regions(regions: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(region, node, near, guest, blocks): regions split until their members can meet in one task.
-
-    What new pivots don't make smaller, as when all members lie within twice the radius of all, is dealt to blocks.
+    def measure(rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        hasher, unpress = WordHasher(), zstandard.ZstdDecompressor().decompress
+        drawn = drawn.sort_values("node")
+        names, sets = drawn["node"].to_numpy(), [_set_of(t, hasher, unpress, rule) for t in drawn["text"]]
+        cells, linked = [], []
+        for pressed in rows["text"]:
+            mine = _set_of(pressed, hasher, unpress, rule)
+            shared = [len(np.intersect1d(mine, other, assume_unique=True)) for other in sets]
+            away = np.array([1 - n / max(1, len(mine) + len(other) - n) for n, other in zip(shared, sets, strict=True)])
+            cells.append(names[away <= away.min() + 2 * rule.radius + 1e-9].tolist())
+            linked.append([p for n, other, p in zip(shared, sets, names.tolist(), strict=True) if rule.linked(n, len(mine), len(other))])
+        out = rows[["region", "node", "label", "guest", "size", "blocks"]].copy()
+        out["label"] = [was if was >= 0 or not found else found[0] for was, found in zip(rows["label"], linked, strict=True)]
+        return out.assign(**{name: pd.Series(lists, index=out.index, dtype=object) for name, lists in (("cells", cells), ("linked", linked))})
+
+    met = _in_blocks(crowded, texts).groupBy("region", "block").cogroup(beside.groupBy("region", "block"))
+    held = written(met.applyInPandas(measure, "region long, node long, label long, guest boolean, size long, blocks int, cells array<long>, linked array<long>"), "voronoi")
+    return held, held.select(F.explode("linked").alias("a"), F.col("node").alias("b")).filter("a <> b")
+
+
+def _bounded_regions(regions: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(small, undivided, links): regions whose members can meet in one task, those that no pivots divide, and links with the pivots that were tried.
+
+    How the parts of a split would come out is counted before any member is written for each of them, so
+    a region whose members lie within reach of all pivots stays as it is, once.
     """
-    regions, done = written(regions.withColumn("before", F.lit(None).cast("long")), "windows"), None
+    regions, small, undivided, links = written(regions, "windows"), None, None, []
+    columns = ["region", "node", "label", "guest", "size"]
+    add = lambda found, more: more if found is None else found.unionByName(more)
     for depth in range(DEPTH + 1):
-        # written, so that the join below can be split at a hot region
-        sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("guest").alias("empty"), F.max("before").alias("was")).filter("n > 1 AND NOT empty")
-        blocks = F.ceil(F.greatest(F.col("n") / REGION_ROWS, F.col("weight") / REGION_SHINGLES)).cast("int")
-        stuck = F.coalesce(F.col("n") > STUCK * F.col("was"), F.lit(False)) | F.lit(depth == DEPTH)
-        sizes = written(sizes.select("region", "n", blocks.alias("blocks"), ((blocks > 1) & ~stuck).alias("crowded")), "sizes")
-        known = regions.select("region", "node", "near", "guest", "size").join(sizes, "region")
-        calm = known.filter("NOT crowded").select("region", "node", "near", "guest", "blocks")
-        done = calm if done is None else done.unionByName(calm)
-        if not sizes.filter("crowded").limit(1).count():
-            return done
-        regions = written(_voronoi(known.filter("crowded").drop("blocks", "crowded"), texts, rule, depth), "voronoi")
-    return done
+        # written, so that the joins below can be split at a hot region
+        sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("guest").alias("empty")).filter("n > 1 AND NOT empty")
+        sizes = written(sizes.select("region", "n", F.ceil(F.greatest(F.col("n") / REGION_ROWS, F.col("weight") / REGION_SHINGLES)).cast("int").alias("blocks")), "sizes")
+        known = regions.select(*columns).join(sizes, "region")
+        small = add(small, known.filter("blocks = 1").select(*columns))
+        crowded, large = known.filter("blocks > 1").drop("n"), sizes.filter("blocks > 1")
+        if not large.limit(1).count():
+            break
+        if depth == DEPTH:
+            undivided = add(undivided, crowded)
+            break
+        held, more = _voronoi(crowded, large, texts, rule, depth)
+        links.append(more)
+        parts = held.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count(F.lit(1)).alias("part"))
+        reach = parts.groupBy("region").agg(F.max("part").alias("most"), F.sum("part").alias("all")).join(large, "region")
+        fate = written(reach.select("region", ((F.col("most") <= LARGEST * F.col("n")) & (F.col("all") <= TOGETHER * F.col("n"))).alias("splits")), "reach")
+        told = held.drop("linked").join(fate, "region")
+        undivided = add(undivided, told.filter("NOT splits").select(*columns, "blocks"))
+        cells = told.filter("splits").select("region", F.explode("cells").alias("cell"), "node", "label", "guest", "size")
+        regions = written(cells.withColumn("region", F.xxhash64("region", "cell", F.lit(depth))).select(*columns), "split")
+    return small, undivided, links
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(pivot, node): pairs of members of a region that share one of their rarest shingles, where a link between them must show; each pair once.
+
+    With all shingles in one order, the first that linked sets share stands so early in both that what
+    follows can still hold their intersection: it is looked for among the first of each set only, and of
+    the smaller set among still fewer. The order is by how often a region's shingles occur, counted for
+    all its members in a table of SKETCH places, so shingles of a common text stand last and make no pairs.
+    """
+    members = written(members, "undivided")
+    regions = members.select("region", "blocks").distinct()
+    dealt = _in_blocks(members, texts)
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        hasher, unpress = WordHasher(), zstandard.ZstdDecompressor().decompress
+        found = np.zeros(SKETCH, dtype=np.int64)
+        for pressed in rows["text"]:
+            found += np.bincount((_set_of(pressed, hasher, unpress, rule) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        at = np.flatnonzero(found)
+        return pd.DataFrame({"region": key[0], "bucket": at, "n": found[at]})
+
+    counted = dealt.groupBy("region", "block").applyInPandas(count, "region long, bucket int, n long").groupBy("region", "bucket").agg(F.sum("n").alias("n"))
+    tables = written(counted.groupBy("region").agg(F.collect_list(F.struct("bucket", "n")).alias("often")), "shingle-counts")
+
+    def rarest(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        hasher, unpress = WordHasher(), zstandard.ZstdDecompressor().decompress
+        often, parts = np.zeros(SKETCH, dtype=np.int64), []
+        for pair in (p for listed in table["often"] for p in listed):
+            often[pair["bucket"]] = pair["n"]
+        for region, node, label, guest, pressed in rows[["region", "node", "label", "guest", "text"]].itertuples(index=False):
+            found = _set_of(pressed, hasher, unpress, rule)
+            size = len(found)
+            first = size - -(-rule.num * size // rule.den) + 1
+            order = np.lexsort((found, often[(found % np.uint64(SKETCH)).astype(np.int64)]))[:first]
+            parts.append(pd.DataFrame({"region": region, "token": found[order].view(np.int64), "node": node, "label": label, "guest": guest, "size": size, "place": np.arange(len(order))}))
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("region", "token", "node", "label", "guest", "size", "place")})
+
+    met = dealt.groupBy("region", "block").cogroup(_to_blocks(tables, regions).groupBy("region", "block"))
+    tokens = written(met.applyInPandas(rarest, "region long, token long, node long, label long, guest boolean, size long, place int"), "rarest")
+    x, y = (tokens.select("region", "token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "guest", "size", "place"))) for side in "xy")
+    total = rule.num + rule.den
+    # of two sets the smaller, of equal sizes the one with the smaller node
+    y = y.filter(total * (F.col("size_y") - F.col("place_y")) >= 2 * rule.num * F.col("size_y"))
+    ordered = (F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("node_y") < F.col("node_x")))
+    room = total * F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= rule.num * (F.col("size_x") + F.col("size_y"))
+    apart = ~((F.col("label_x") == F.col("label_y")) & (F.col("label_x") >= 0)) & ~(F.col("guest_x") & F.col("guest_y"))
+    met = x.join(y, ["region", "token"]).filter(ordered & room & apart)
+    return met.select(F.col("node_y").alias("pivot"), F.col("node_x").alias("node")).distinct()
 
 
 def _remaining_links(measured: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Links between members of a region other than through its pivot: all members of a bounded region meet in a task, or block by block."""
-    bounded = _bounded_regions(_pivot_windows(measured, rule), texts, rule)
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = bounded.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high")
-    keyed = met.select("region", low, high, "node", "near", "guest", (F.col("_mine") == F.least("_mine", "_other")).alias("left"), (F.col("_mine") == F.greatest("_mine", "_other")).alias("right"))
+    """Links between members of a region other than through its pivot: all members of a small region meet in a task, of an undivided one those that share a rare shingle."""
+    small, undivided, links = _bounded_regions(_pivot_windows(measured, rule), texts, rule)
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         hasher, unpress = WordHasher(), zstandard.ZstdDecompressor().decompress
         rows = rows.sort_values(["node", "guest"])
-        sets = [shingles(words_of(unpress(t)), hasher, rule.gram) for t in rows["text"]]
-        links = region_links(rows["node"].tolist(), sets, *(rows[c].tolist() for c in ("near", "guest", "left", "right")), rule)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return keyed.join(texts, "node").groupBy("region", "low", "high").applyInPandas(join, "a long, b long")
+        sets = [_set_of(t, hasher, unpress, rule) for t in rows["text"]]
+        return pd.DataFrame(region_links(rows["node"].tolist(), sets, *(rows[c].tolist() for c in ("label", "guest")), rule), columns=["a", "b"], dtype="int64")
+
+    found = small.join(texts, "node").groupBy("region").applyInPandas(join, "a long, b long")
+    for more in links:
+        found = found.unionByName(more)
+    if undivided is not None:
+        pairs = written(_rare_pairs(undivided, texts, rule), "rare-pairs")
+        held = _measured(_with_texts(pairs.withColumn("region", F.col("pivot")), texts), rule)
+        found = found.unionByName(held.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    return found
 
 
 def link_documents(rows: DataFrame, rule: Rule) -> DataFrame:

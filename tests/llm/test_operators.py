@@ -353,8 +353,9 @@ def test_jaccard_crowded_regions_split_recursively(spark, monkeypatch, limit, sh
     """Members near one text, far from one another: windows hold more than a task may, by rows or by shingles."""
     monkeypatch.setattr(jaccard, "REGION_ROWS", limit)
     monkeypatch.setattr(jaccard, "REGION_SHINGLES", shingles)
-    depths, voronoi = [], jaccard._voronoi
+    depths, voronoi, joined, rare = [], jaccard._voronoi, [], jaccard._rare_pairs
     monkeypatch.setattr(jaccard, "_voronoi", lambda *a: depths.append(a[-1]) or voronoi(*a))
+    monkeypatch.setattr(jaccard, "_rare_pairs", lambda *a: joined.append(1) or rare(*a))
     rng = random.Random(11)
     rows, base = [], [f"w{rng.randrange(400)}" for _ in range(90)]
     branches = []
@@ -370,12 +371,35 @@ def test_jaccard_crowded_regions_split_recursively(spark, monkeypatch, limit, sh
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert bag(jaccard.jaccard_components(df, rule), "doc_id", "n_shingles", "component_id") == brute_components(rows, rule)
-    assert depths and depths[0] == 0
+    assert depths and depths[0] == 0 and joined
     if limit == 8:
         kept = {r.doc_id for r in jaccard.drop_near_copies(df, rule).collect()}
         assert kept == {c for _, _, c in brute_components(rows, rule)}
 
 
+def test_jaccard_template_with_own_parts_stays_linear(spark, monkeypatch, tmp_path):
+    """Texts of 100 shared and 8 own words, all within reach of any pivot: at the real limits no table has more than a fixed number of rows for each text, and planted links are found."""
+    made, kept = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (out := kept(df, name), made.__setitem__(name, max(made.get(name, 0), out.count())))[0])
+    rng = random.Random(8)
+    base, n = " ".join(f"common{i}" for i in range(100)), 2500
+    rows = [(i, base + " " + " ".join(f"own{rng.randrange(10**9)}" for _ in range(8))) for i in range(n)]
+    # a few differ in their last words only, one chain included
+    for i in range(0, 40, 2):
+        w = rows[i][1].split(" ")
+        rows[i + 1] = (i + 1, " ".join([*w[:-2], f"x{i}", f"y{i}"]))
+    w = rows[1][1].split(" ")
+    rows[2000] = (2000, " ".join([*w[:-4], "p", "q", *w[-2:]]))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    # of texts that share what lies beyond the template, by brute force: the others have nothing else in common
+    few = [rows[i] for i in (*range(60), 2000)]
+    want = {(i, c) for i, _, c in brute_components(few, jaccard.Rule())}
+    assert {(i, got[i]) for i, _ in few} == want and len({c for _, c in want}) < len(few)
+    assert sum(c != i for i, c in got.items()) == sum(c != i for i, c in want)
+    assert "undivided" in made and made["undivided"] <= n and made["voronoi"] <= n and made["rare-pairs"] < 100
+
+
 def test_jaccard_empty(nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
