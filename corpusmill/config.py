@@ -34,6 +34,8 @@ class Config:
     cached_results: int = 256
     cached_vectors: int = 512
     watch_interval: str = "60 seconds"
+    #: Index the document's title and the chunk's headings too, which count three and two times.
+    field_weights: bool = False
 
     def __post_init__(self) -> None:
         wrong = [f.name for f in fields(self) if f.type == "int" and getattr(self, f.name) < 0]

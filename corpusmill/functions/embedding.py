@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,8 @@ CONVENTIONS = (
 )
 # Offset basis and prime of 64-bit FNV-1a.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
-TOKEN = re.compile(r"[^\W_]+")
+#: Letters and decimal digits; other numerals end a token.
+TOKEN = regex.compile(r"[\p{L}\p{Nd}]+")
 BATCH = 32
 
 

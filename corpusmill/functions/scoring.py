@@ -1,14 +1,18 @@
-"""Chunk scores as column expressions: prompt-injection signals and SimHash fingerprints."""
+"""Chunk scores by narrow maps: prompt-injection signals and SimHash fingerprints."""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from hashlib import sha256
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from corpusmill.functions.text import collapse, fields, word_hash
+from corpusmill.functions.text import collapse, fields
 
 # Phrases that count as an instruction.
 PHRASES = (
@@ -24,47 +28,77 @@ PHRASES = (
 QUARANTINE, SUSPICIOUS = 0.70, 0.40
 
 
-def matched_phrases(norm: Column, phrases: tuple[str, ...] = PHRASES) -> Column:
-    """The phrases that a collapsed text holds, in the order of the list."""
-    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(norm, p))
+ADDED = ("matched_phrases", "instruction", "repetition", "stuffing", "score", "level")
 
 
-def poison_scores(rows: DataFrame, text: str = "text", phrases: tuple[str, ...] = PHRASES) -> DataFrame:
+def poison_scores(rows: DataFrame, text: str = "text", phrases: tuple[str, ...] = PHRASES, suspicious: float = SUSPICIOUS, quarantine: float = QUARANTINE) -> DataFrame:
     """Adds matched_phrases, instruction, repetition, stuffing, score and level. Null and blank texts score 0 and are clean.
 
-    The words of a text are read once, in Arrow batches: of a text only the number of its words, of
-    its different ones, and how often the commonest long one occurs go on. The phrases are looked for in the JVM.
+    Columns of these names are replaced; all others stay, whatever their names. A collapsed text is read once, in Arrow
+    batches: the phrases that it holds, in the order of the list, the number of its words, of
+    its different ones, and how often the commonest long one occurs go on.
     """
-    @F.pandas_udf("n int, distinct int, most int")
-    def counts(norms: pd.Series) -> pd.DataFrame:
-        out = []
-        for norm in norms:
-            found = Counter(norm.split(" ")) if norm else {}
-            out.append((sum(found.values()), len(found), max((c for w, c in found.items() if c > 1 and len(w.encode()) > 3), default=1)))
-        return pd.DataFrame(out, columns=["n", "distinct", "most"])
-
-    others = [c for c in rows.columns if c not in ("matched_phrases", "instruction", "repetition", "stuffing", "score", "level")]
-    body = collapse(F.coalesce(F.col(text), F.lit("")))
-    counted = rows.select(*others, body.alias("_norm")).withColumn("_c", counts("_norm"))
-    n, few = F.col("_c.n"), F.col("_c.n") < 6
-    repetition = F.when(few, 0.0).otherwise(F.least(F.lit(1.0), 2.0 * (n - F.col("_c.distinct")) / n))
-    stuffing = F.when(few | (F.col("_c.most") < 2), 0.0).otherwise(F.least(F.lit(1.0), (F.col("_c.most") - 1) / 5.0))
-    found = counted.withColumns({"matched_phrases": matched_phrases(F.col("_norm"), phrases), "repetition": repetition, "stuffing": stuffing})
-    found = found.withColumn("instruction", F.when(F.size("matched_phrases") > 0, 1.0).otherwise(0.0)).drop("_norm", "_c")
+    others = ["`" + c.replace("`", "``") + "`" for c in rows.columns if c not in ADDED]
+    kept = rows.select(F.struct(*others).alias("row"), collapse(F.coalesce(F.col(text), F.lit(""))).alias("norm")) if others else rows.select(F.struct(F.lit(1).alias("x")).alias("row"), collapse(F.coalesce(F.col(text), F.lit(""))).alias("norm"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, words, different, most = [], [], [], []
+            for norm in batch.column("norm").to_pylist():
+                found.append([p for p in phrases if p in norm])
+                counts = Counter(norm.split(" ")) if norm else {}
+                words.append(counts.total() if norm else 0)
+                different.append(len(counts))
+                most.append(max((n for w, n in counts.items() if n > 1 and len(w.encode()) > 3), default=1))
+            made = [pa.array(found, pa.list_(pa.string())), *(pa.array(x, pa.int32()) for x in (words, different, most))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *made], names=["row", "found", "n", "different", "most"])
+
+    counted = kept.mapInArrow(run, StructType([*kept.select("row").schema.fields, *StructType.fromDDL("found array<string>, n int, different int, most int").fields]))
+    n, few = F.col("n"), F.col("n") < 6
+    repetition = F.when(few, 0.0).otherwise(F.least(F.lit(1.0), 2.0 * (n - F.col("different")) / n))
+    stuffing = F.when(few | (F.col("most") < 2), 0.0).otherwise(F.least(F.lit(1.0), (F.col("most") - 1) / 5.0))
+    instruction = F.when(F.size("found") > 0, 1.0).otherwise(0.0)
+    scored = counted.select("row", "found", instruction.alias("instruction"), repetition.alias("repetition"), stuffing.alias("stuffing"))
     score = F.least(F.lit(1.0), 0.5 * F.col("instruction") + 0.25 * F.col("repetition") + 0.25 * F.col("stuffing"))
-    level = F.when(F.col("score") >= QUARANTINE, "quarantine").when(F.col("score") >= SUSPICIOUS, "suspicious").otherwise("clean")
-    return found.withColumn("score", score).withColumn("level", level)
+    whole = scored.select("row", F.col("found").alias("matched_phrases"), "instruction", "repetition", "stuffing", score.alias("score"))
+    own = [F.col("row." + c).alias(c[1:-1].replace("``", "`")) for c in others]
+    return whole.select(*own, "matched_phrases", "instruction", "repetition", "stuffing", "score", level_of(F.col("score"), suspicious, quarantine).alias("level"))
+
+
+def level_of(score: Column, suspicious: float = SUSPICIOUS, quarantine: float = QUARANTINE) -> Column:
+    return F.when(score >= quarantine, "quarantine").when(score >= suspicious, "suspicious").otherwise("clean")
+
+
+#: Words whose signs are added up at once; each has 64 of them.
+VOTES = 200_000
 
 
 def simhash(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, fingerprint): 64 signed sums over the words of a text, one bit each; null for a text without words.
 
-    Words are counted first, so a long text of few words costs little; the sums are partial before the shuffle.
+    A narrow map, so rows that share a key have each their own. A batch's different words are hashed once, and their signs added up text by text.
     """
-    counted = rows.select(key, F.explode(fields(F.coalesce(F.col(text), F.lit("")))).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n")).withColumn("h", word_hash(F.col("w")))
-    votes = [F.sum(F.when(F.shiftrightunsigned("h", i).bitwiseAND(1) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)]
-    bits = F.lit(0).cast("long")
-    for i in range(64):
-        bits = bits.bitwiseOR(F.shiftleft(F.when(F.col(f"b{i}") > 0, 1).otherwise(0).cast("long"), i))
-    prints = counted.groupBy(key).agg(*votes).select(key, bits.alias("fingerprint"))
-    return rows.select(key).join(prints, key, "left")
+    kept = rows.select(F.col(key).alias("key"), fields(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            ends = np.cumsum(np.diff(words.offsets.to_numpy()))
+            every = words.flatten().dictionary_encode()
+            codes = every.indices.to_numpy()
+            digests = b"".join(sha256(w.as_py().encode()).digest()[:8] for w in every.dictionary)
+            hashes = np.frombuffer(digests, dtype=">u8").astype(np.uint64)
+            sums = np.zeros((len(ends), 64), dtype=np.int64)
+            for low in range(0, len(codes), VOTES):
+                part = codes[low : low + VOTES]
+                owner = np.searchsorted(ends, np.arange(low, low + len(part)), "right")
+                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                signs = ((hashes[part][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * np.int8(2) - np.int8(1)
+                sums[owner[first]] += np.add.reduceat(signs, first, axis=0, dtype=np.int64)
+            prints = ((sums > 0) * powers).sum(axis=1, dtype=np.uint64).view(np.int64)
+            empty = np.diff(np.r_[0, ends]) == 0
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(prints, pa.int64(), mask=empty)], names=["key", "fingerprint"])
+
+    kind = kept.schema["key"].dataType.simpleString()
+    return kept.mapInArrow(run, f"key {kind}, fingerprint long").withColumnRenamed("key", key)

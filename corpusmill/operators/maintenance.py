@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,8 +53,8 @@ def dirs_rollup(documents: DataFrame) -> DataFrame:
     return documents.groupBy(directory.alias("dir")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("chunk_count").cast("long").alias("n_chunks"))
 
 
-def status_counts(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """One row of counts, each table read once: documents, enriched, chunks, suspicious, quarantined, embeddings, pending and, with fingerprint classes, copies."""
+def status_counts(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, classes: DataFrame | None = None, queue: DataFrame | None = None) -> DataFrame:
+    """One row of counts, each table read once: documents, enriched, chunks, suspicious, quarantined, embeddings, pending, with fingerprint classes copies, and with a queue what failed and what was tried again."""
     count = lambda when: F.count(F.when(when, 1))
     enriched = count(F.col("enrichment.status") == "enriched") if "enrichment" in documents.columns else F.lit(0).cast("long")
     level = F.col("level") if "level" in chunks.columns else F.lit("clean")
@@ -64,6 +63,8 @@ def status_counts(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame
     vectors = embeddings.agg(F.count_distinct("chunk_id").alias("embeddings"))
     left = pending(chunks.select("chunk_id"), embeddings).agg(F.count(F.lit(1)).alias("pending"))
     out = docs.crossJoin(F.broadcast(parts)).crossJoin(F.broadcast(vectors)).crossJoin(F.broadcast(left))  # single rows
+    if queue is not None:
+        out = out.crossJoin(F.broadcast(queue.agg(count(F.col("status") == "failed").alias("failed"), count((F.col("status") == "pending") & (F.col("attempts") > 0)).alias("retrying"))))
     return out if classes is None else out.crossJoin(F.broadcast(classes.filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("near_copies"))))
 
 
@@ -170,41 +171,40 @@ def migration_plan(vectors: DataFrame, target: str) -> DataFrame:
     return embeddings_per_model(vectors).withColumn("stale", F.col("model") != target)
 
 
-def migrate(chunks: DataFrame, vectors: DataFrame, target: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All vectors with ``target`` as their model: what has it stays, the other chunks are embedded again."""
-    stays = vectors.filter(F.col("model") == target)
-    return stays.unionByName(embed(pending(chunks, stays)))
-
-
 def quarantine_list(chunks: DataFrame, levels: tuple[str, ...] = ("suspicious", "quarantine")) -> DataFrame:
     """Flagged chunks, the worst first."""
     return chunks.filter(F.col("level").isin(*levels)).orderBy(F.col("score").desc(), "chunk_id")
 
 
-def level_of(score: Column) -> Column:
-    return F.when(score >= scoring.QUARANTINE, "quarantine").when(score >= scoring.SUSPICIOUS, "suspicious").otherwise("clean")
-
-
 def release(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """The chunks in ``ids`` are released, which a rescan doesn't undo."""
     named = ids.select("chunk_id").distinct().withColumn("_named", F.lit(True))
     return chunks.join(named, "chunk_id", "left").withColumn("level", F.when(F.col("_named"), "released").otherwise(F.col("level"))).drop("_named")
 
 
-def reset(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+def reset(chunks: DataFrame, ids: DataFrame, suspicious: float = scoring.SUSPICIOUS, quarantine: float = scoring.QUARANTINE) -> DataFrame:
     """The chunks in ``ids`` get the level of their stored score again."""
     named = ids.select("chunk_id").distinct().withColumn("_named", F.lit(True))
-    return chunks.join(named, "chunk_id", "left").withColumn("level", F.when(F.col("_named"), level_of(F.col("score"))).otherwise(F.col("level"))).drop("_named")
+    return chunks.join(named, "chunk_id", "left").withColumn("level", F.when(F.col("_named"), scoring.level_of(F.col("score"), suspicious, quarantine)).otherwise(F.col("level"))).drop("_named")
+
+
+VERDICT = ("score", "level", "matched_phrases", "instruction", "repetition", "stuffing")
+
+
+def rescan(chunks: DataFrame, phrases: tuple[str, ...] = scoring.PHRASES, suspicious: float = scoring.SUSPICIOUS, quarantine: float = scoring.QUARANTINE) -> DataFrame:
+    """Chunks scored and labelled anew with ``phrases`` and thresholds; what was released keeps what it had."""
+    kept, judged = chunks.columns, [c for c in VERDICT if c in chunks.columns]
+    was = chunks.withColumn("before", F.struct(*judged)) if judged else chunks
+    now = scoring.poison_scores(was, "content", phrases, suspicious, quarantine)
+    fresh = F.coalesce(F.col("before.level"), F.lit("")) != "released"
+    return now.select(*(F.when(fresh, F.col(c)).otherwise(F.col(f"before.{c}")).alias(c) if c in judged else c for c in kept))
 
 
-def rescan(chunks: DataFrame, phrases: tuple[str, ...] = scoring.PHRASES) -> DataFrame:
-    """Chunks scored anew with ``phrases``. Level and phrases change only where the score does; what was released stays so."""
-    kept = chunks.columns
-    was = chunks.select(*(F.col(c).alias(f"_was_{c}" if c in ("score", "level", "matched_phrases") else c) for c in kept))
-    now = scoring.poison_scores(was, "content", phrases)
-    moved = (F.col("_was_level") != "released") & (F.round("score", 9) != F.round("_was_score", 9))
-    changing = [c for c in ("score", "level", "matched_phrases") if c in kept]
-    return now.select(*(F.when(moved, F.col(c)).otherwise(F.col(f"_was_{c}")).alias(c) if c in changing else c for c in kept))
+def relabelled(was: DataFrame, now: DataFrame) -> DataFrame:
+    """The rows of ``now`` whose verdict differs from that in ``was``."""
+    before = was.select("chunk_id", *(F.col(c).alias(f"was_{c}") for c in ("score", "level", "matched_phrases")))
+    moved = (F.round("score", 9) != F.round("was_score", 9)) | ~F.col("level").eqNullSafe(F.col("was_level")) | ~F.col("matched_phrases").eqNullSafe(F.col("was_matched_phrases"))
+    return now.join(before, "chunk_id").filter(moved).select(*now.columns)
 
 
 @dataclass(frozen=True)

@@ -53,13 +53,18 @@ def near_pairs(classes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFr
     return met.filter((hamming <= distance) & ~reduce(lambda x, y: x | y, earlier, F.lit(False))).select("a", "b", hamming.cast("int").alias("hamming"), (1 - hamming / BITS).alias("similarity"))
 
 
-def siblings(prints: DataFrame, pairs: DataFrame, classes: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(chunk_id, sibling_id, similarity) for the rows in ``ids`` only: the other members of their class and those of near classes.
+def hit_siblings(hits: DataFrame, prints: DataFrame, distance: int = 3, key: str = "chunk_id") -> DataFrame:
+    """(query_id, chunk_id, sibling_id, similarity): hits of one query that are near copies of each other.
 
-    For a few hits, as retrieval has them, whose siblings are wanted by row; all rows' would be quadratic in a class.
+    Only the fingerprints of hits are compared, so a class of any size costs what it has among the hits of a query, which the pool bounds.
     """
-    named = prints.join(classes.select("fingerprint", "representative"), "fingerprint").select(F.col(key).alias("chunk_id"), "representative")
+    mine = prints.join(hits.select(F.col("chunk_id").alias(key)).distinct(), key)
+    classes = fingerprint_classes(mine, key)
+    named = mine.join(classes.select("fingerprint", "representative"), "fingerprint").select(F.col(key).alias("chunk_id"), "representative")
+    pairs = near_pairs(classes, distance)
     both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    own = ids.select("chunk_id").distinct().join(named, "chunk_id")
-    near = own.join(both, own["representative"] == both["a"]).select("chunk_id", F.col("b").alias("representative"), "similarity").unionByName(own.select("chunk_id", "representative", F.lit(1.0).alias("similarity")))
-    return near.join(named.withColumnRenamed("chunk_id", "sibling_id"), "representative").filter("chunk_id <> sibling_id").select("chunk_id", "sibling_id", "similarity")
+    both = both.unionByName(classes.select(F.col("representative").alias("a"), F.col("representative").alias("b"), F.lit(1.0).alias("similarity")))
+    own = hits.select("query_id", "chunk_id").join(named, "chunk_id")
+    near = own.join(both, own["representative"] == both["a"]).select("query_id", "chunk_id", F.col("b").alias("representative"), "similarity")
+    other = own.select("query_id", F.col("chunk_id").alias("sibling_id"), "representative")
+    return near.join(other, ["query_id", "representative"]).filter("chunk_id <> sibling_id").select("query_id", "chunk_id", "sibling_id", "similarity")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import scoring, text
 from corpusmill.operators import evaluation, maintenance, retrieval
-from corpusmill.sources.shared import written
+from corpusmill.sources.shared import spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,7 +54,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("file_path", path)
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("file_path", path)
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
-"""Sources and sinks: directories, golden query files, retrieval benchmarks, stored tables, vaults and audit logs."""
+"""Sources and sinks: directories, golden query files, retrieval benchmarks and audit logs."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.sources.events import EVENT
+
 #: What a corpus keeps beside the files it was made of is never read as a file.
 OWN_FOLDER = ".corpusmill"
 
@@ -67,71 +68,6 @@ def subsample(bench: Benchmark, max_queries: int, stride: int) -> Benchmark:
     return Benchmark(kept.drop("_relevant"), queries, qrels)
 
 
-VAULT_NAME = re.compile(r"[a-z0-9-]{1,64}")
-
-
-@dataclass(frozen=True)
-class Vault:
-    """A corpus by name: one folder under ``root`` with a table each for documents, chunks, embeddings and postings."""
-
-    spark: SparkSession
-    root: str
-    name: str
-
-    def __post_init__(self) -> None:
-        if not VAULT_NAME.fullmatch(self.name):
-            raise ValueError("a vault's name has 1 to 64 of a-z, 0-9 and -")
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{self.name}/{table}"
-
-    def write(self, table: str, rows: DataFrame, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """Stores rows as Parquet and reads them back."""
-        rows.write.mode(mode).partitionBy(*partition_by).parquet(self.path(table))
-        return self.read(table)
-
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
-
-    def scan(self, table: str, key: str, low: object = None, high: object = None, prefix: str | None = None) -> DataFrame:
-        """Rows of a table whose key lies in [low, high) or begins with ``prefix``; Parquet sees the bounds."""
-        rows, wanted = self.read(table), F.lit(True)
-        for bound in (F.col(key) >= low if low is not None else None, F.col(key) < high if high is not None else None, F.col(key).startswith(prefix) if prefix else None):
-            wanted = wanted & bound if bound is not None else wanted
-        return rows.filter(wanted)
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def tables(self) -> list[str]:
-        fs, at = self._fs(f"{self.root}/{self.name}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
-
-    def copy_to(self, root: str, name: str) -> Vault:
-        """A copy of every table under another name or root: export, import and clone alike. An existing vault is not overwritten."""
-        other = Vault(self.spark, root, name)
-        if other.tables():
-            raise FileExistsError(f"vault {name} exists")
-        for table in self.tables():
-            self.read(table).write.parquet(other.path(table))
-        return other
-
-    def delete(self) -> None:
-        fs, at = self._fs(f"{self.root}/{self.name}")
-        fs.delete(at, True)
-
-
-def vault_listing(spark: SparkSession, root: str) -> DataFrame:
-    """(vault, documents) of the vaults under ``root``."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory() and VAULT_NAME.fullmatch(s.getPath().getName())) if fs.exists(at) else []
-    rows = [(n, v.read("documents").count() if "documents" in v.tables() else 0) for n in names for v in (Vault(spark, root, n),)]
-    return spark.createDataFrame(rows, "vault string, documents long")
-
-
 def rendered(hits: DataFrame, form: str = "json") -> DataFrame:
     """(query_id, line): a hit as JSON, or as one line of text with its rank, score, source and a preview."""
     if form == "json":
@@ -140,12 +76,9 @@ def rendered(hits: DataFrame, form: str = "json") -> DataFrame:
     return hits.select("query_id", line.alias("line"))
 
 
-AUDIT = "ts timestamp, type string, query_hash string, mode string, k int, hits int, status string, op string, path string, new int, skipped int, errors int, transport string, detail string"
-
-
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
     """Audit events from JSON lines; lines that don't parse are left out."""
-    return spark.read.schema(AUDIT).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(path)
 
 
 def audit_tail(events: DataFrame, kind: str | None = None, since: Column | None = None, n: int = 50) -> DataFrame:

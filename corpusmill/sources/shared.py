@@ -34,3 +34,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes a core that a table in few files may have to be dealt out.
+SPREAD = 64 << 20
+
+
+def spread(df: DataFrame, least: int | None = None) -> DataFrame:
+    """The rows of a small table in few files, dealt out to all cores: one file with one row group would otherwise be one task. Larger tables, and those in many files, stay as they lie."""
+    session = df.sparkSession
+    cores = least or session.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    size = sum(session._jvm.org.apache.hadoop.fs.Path(f).getFileSystem(session._jsc.hadoopConfiguration()).getFileStatus(session._jvm.org.apache.hadoop.fs.Path(f)).getLen() for f in files)
+    return df.repartition(cores) if size <= SPREAD * cores else df

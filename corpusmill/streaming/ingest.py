@@ -1,10 +1,11 @@
-"""Streaming ingest: new files and rows become chunks, verdicts, fingerprints and vectors by micro-batches, each step idempotent by chunk id."""
+"""Streaming ingest: new files and rows become chunks, verdicts, fingerprints and index segments, one version of the vault a batch; vectors follow by way of the queue."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.functions import chunking, embedding, redaction, scoring
 from corpusmill.functions.text import document_identity
-from corpusmill.operators import maintenance
-from corpusmill.sources import readers
-from corpusmill.sources.files import OWN_FOLDER, Vault
+from corpusmill.operators import maintenance, retrieval, segments
+from corpusmill.sources import files, readers
+from corpusmill.sources.files import OWN_FOLDER
+from corpusmill.sources.shared import written
+from corpusmill.sources.vault import Change, ConflictError, Vault
+from corpusmill.streaming import queue
+
+T = TypeVar("T")
 
 
 class CircuitOpenError(RuntimeError):
@@ -71,106 +77,211 @@ def documents_of(parsed: DataFrame) -> DataFrame:
     return parsed.filter("status = 'ok'").withColumn("metadata", meta).withColumn("document_id", document_identity(F.col("text"), F.col("mime"), F.col("metadata")))
 
 
-def chunks_of(documents: DataFrame, splitter: chunking.Splitter | None = None, redacting: bool = False, phrases: tuple[str, ...] = scoring.PHRASES) -> DataFrame:
+def chunks_of(documents: DataFrame, splitter: chunking.Splitter | None = None, redacting: bool = False, phrases: tuple[str, ...] = scoring.PHRASES, suspicious: float = scoring.SUSPICIOUS, quarantine: float = scoring.QUARANTINE) -> DataFrame:
     """Chunks with identity, links, breadcrumb, page and verdict. Redaction comes before splitting and moves the headings along."""
     rows = redaction.redact(documents) if redacting else documents
     chunks = chunking.linked(chunking.identified(chunking.chunk_documents(rows, splitter)))
     if "page_offsets" in documents.columns:
         chunks = chunks.join(documents.select("document_id", "page_offsets"), "document_id").withColumn("page_number", chunking.page_of(F.col("start_char_idx"), F.coalesce("page_offsets", F.array().cast("array<int>")))).drop("page_offsets")
-    return scoring.poison_scores(chunks, "content", phrases)
+    return scoring.poison_scores(chunks, "content", phrases, suspicious, quarantine)
 
 
-def ingest_batch(vault: Vault, files: DataFrame, embedder: embedding.Embedder | None = None, splitter: chunking.Splitter | None = None, redacting: bool = False, phrases: tuple[str, ...] = scoring.PHRASES) -> dict[str, int]:
-    """Takes a batch of files (path, content) into a vault: counts of new, skipped, unsupported and failed files.
+@dataclass(frozen=True)
+class Settings:
+    """How files become rows of a vault."""
 
-    Content that is stored already is skipped, and so is the vector of a chunk that has one, so a
-    batch that is run again after a failure changes nothing that it had done.
-    """
-    parsed = readers.parse_files(files).persist()
+    embedder: embedding.Embedder | None = None
+    prefixer: embedding.Prefixer | None = None
+    splitter: chunking.Splitter | None = None
+    redacting: bool = False
+    phrases: tuple[str, ...] = scoring.PHRASES
+    suspicious: float = scoring.SUSPICIOUS
+    quarantine: float = scoring.QUARANTINE
+    fields: retrieval.Fields = retrieval.BODY
+
+
+def field_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(chunk_id, title, heading, text): what the index has of a chunk, of its document's title and of the headings above it."""
+    title = F.col("title") if "title" in documents.columns else F.lit(None).cast("string").alias("title")
+    heading = F.array_join("section_context", " ") if "section_context" in chunks.columns else F.lit(None).cast("string")
+    said = chunks.select("chunk_id", "document_id", heading.alias("heading"), F.col("content").alias("text"))
+    return said.join(documents.select("document_id", title), "document_id", "left").drop("document_id")
+
+
+def _indexed(chunks: DataFrame, documents: DataFrame, fields: retrieval.Fields) -> DataFrame:
+    return chunks.select("chunk_id", F.col("content").alias("text")) if fields == retrieval.BODY else field_rows(chunks, documents)
+
+
+def take(change: Change, files: DataFrame, settings: Settings) -> dict[str, int]:
+    """Adds a batch of files (path, content) to a change: counts of new, skipped, unsupported and failed files. Content that is stored already is skipped."""
+    parsed = written(readers.parse_files(files), "parsed")
     counts = {r["status"]: r["n"] for r in parsed.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fresh = documents_of(parsed)
-    if "documents" in vault.tables():
-        fresh = maintenance.new_content(fresh, vault.read("documents"))
-    else:
-        fresh = maintenance.new_content(fresh, fresh.limit(0))
-    fresh = fresh.persist()
-    chunks = chunks_of(fresh, splitter, redacting, phrases).persist()
-    sizes = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
-    stored = fresh.drop("images", "error").join(sizes, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-    new = stored.count()
+    fresh, have = documents_of(parsed), change.read("documents")
+    fresh = written(maintenance.new_content(fresh, fresh.limit(0) if have is None else have), "fresh")
+    new = fresh.count()
     if new:
-        vault.write("chunks", chunks, "append")
-        prints = scoring.simhash(chunks.select("chunk_id", "content").dropDuplicates(["chunk_id"]), "chunk_id", "content").join(chunks.select("chunk_id", "token_count").dropDuplicates(["chunk_id"]), "chunk_id")
-        vault.write("fingerprints", prints, "append")
-        if embedder is not None:
-            have = vault.read("embeddings") if "embeddings" in vault.tables() else None
-            vectors = embedding.embed_missing(chunks, have, embedder) if have is not None else embedding.embed_rows(chunks, embedder, "chunk_id", "content")
-            vault.write("embeddings", vectors, "append")
-        # last, for a document that is listed is a document that is done
-        vault.write("documents", stored, "append")
-    for each in (chunks, fresh, parsed):
-        each.unpersist()
+        made = chunks_of(fresh, settings.splitter, settings.redacting, settings.phrases, settings.suspicious, settings.quarantine)
+        chunks = change.append("chunks", made)
+        sizes = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+        stored = fresh.drop("images", "error").join(sizes, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+        documents = change.append("documents", stored)
+        keyed = chunks.select(F.struct("chunk_id", "token_count").alias("k"), "content")
+        change.append("fingerprints", scoring.simhash(keyed, "k", "content").select("k.chunk_id", "k.token_count", "fingerprint"))
+        segments.add(change, _indexed(chunks, documents, settings.fields), settings.fields)
+        if settings.embedder is not None:
+            queue.enqueue(change, chunks, settings.embedder.model)
+        for table in ("documents", "chunks", "fingerprints"):
+            change.compact(table)
+        segments.compact(change)
     return {"new": new, "skipped": counts.get("ok", 0) - new, "unsupported": counts.get("unsupported", 0), "errors": counts.get("error", 0)}
 
 
-def watch(spark: SparkSession, root: str, vault: Vault, checkpoint: str, interval: str | None = None, **settings) -> StreamingQuery:
+def drop(change: Change, gone: DataFrame, settings: Settings) -> int:
+    """Takes documents (document_id) out of all tables and off the index; returns how many."""
+    documents, chunks = change.read("documents"), change.read("chunks")
+    if documents is None:
+        return 0
+    lost = written(documents.join(gone.select("document_id").distinct(), "document_id", "left_semi"), "lost")
+    n = lost.count()
+    if n:
+        said = written(chunks.join(lost.select("document_id"), "document_id", "left_semi"), "lost-chunks")
+        segments.remove(change, _indexed(said, lost, settings.fields), settings.fields)
+        have = change.read("embeddings")
+        if have is not None:
+            queue.count_profile(change, have.join(said.select("chunk_id"), "chunk_id", "left_semi"), -1)
+        for table in ("embeddings", "fingerprints", "queue"):
+            change.delete(table, "chunk_id", said)
+        change.delete("chunks", "document_id", lost)
+        change.delete("documents", "document_id", lost)
+    return n
+
+
+def committed(vault: Vault, make: Callable[[Change], T], tries: int = 5) -> T:
+    """One change, made anew on what another writer left when that was first."""
+    for left in reversed(range(tries)):
+        try:
+            with vault.change() as change:
+                out = make(change)
+            return out
+        except ConflictError:
+            if not left:
+                raise
+    raise ValueError("at least one try is needed")
+
+
+def ingest_batch(vault: Vault, files: DataFrame, settings: Settings | None = None) -> dict[str, int]:
+    """Takes a batch of files (path, content) into a vault as one version, then embeds what waits for it.
+
+    A batch that is run again after a failure finds what it had stored, and skips it.
+    """
+    settings = settings or Settings()
+    counts = committed(vault, lambda change: take(change, files, settings))
+    if settings.embedder is not None:
+        queue.drain(vault, settings.embedder, settings.prefixer)
+    return counts
+
+
+def watch(spark: SparkSession, root: str, vault: Vault, checkpoint: str, interval: str | None = None, settings: Settings | None = None) -> StreamingQuery:
     """Takes files into a vault as they appear under ``root``, every ``interval`` or, without one, once for all that are there.
 
-    A file source doesn't see changes and deletions; ``sync`` finds those.
+    A file source doesn't see changes and deletions; ``follow`` does.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(~F.col("path").contains(f"/{OWN_FOLDER}/"))
 
-    def take(batch: DataFrame, _: int) -> None:
-        ingest_batch(vault, batch.select("path", "content"), **settings)
+    def batch(rows: DataFrame, _: int) -> None:
+        ingest_batch(vault, rows.select("path", "content"), settings)
 
-    writer = files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def drain(vault: Vault, embedder: embedding.Embedder) -> int:
-    """Embeds the chunks that have no vector of this model; returns how many."""
-    have = vault.read("embeddings") if "embeddings" in vault.tables() else vault.spark.createDataFrame([], "chunk_id string, model string, convention string, vector array<float>")
-    made = embedding.embed_missing(vault.read("chunks").dropDuplicates(["chunk_id"]), have, embedder).persist()
-    n = made.count()
-    if n:
-        vault.write("embeddings", made, "append")
-    made.unpersist()
-    return n
+LISTING = "path string, modified timestamp, length long, content_hash string"
 
 
-def sync(vault: Vault, files: DataFrame, **settings) -> dict[str, int]:
-    """A full scan: what is new is taken in, what changed replaces what it was, what is gone is deleted."""
-    disk = files.select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("content_hash"))
-    stored = vault.read("documents") if "documents" in vault.tables() else None
-    if stored is None:
-        return ingest_batch(vault, files, **settings) | {"modified": 0, "deleted": 0}
-    found = maintenance.scan_diff(disk, stored.select("file_path", "content_hash")).persist()
-    counts = {r["status"]: r["n"] for r in found.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-    remove(vault, stored.join(found.filter("status IN ('deleted', 'modified')"), "file_path", "left_semi"))
-    taken = ingest_batch(vault, files.join(found.filter("status IN ('new', 'modified')").select(F.col("file_path").alias("path")), "path", "left_semi"), **settings)
-    found.unpersist()
-    return taken | {"modified": counts.get("modified", 0), "deleted": counts.get("deleted", 0), "skipped": counts.get("unchanged", 0)}
-
-
-def remove(vault: Vault, gone: DataFrame) -> None:
-    """Deletes documents with all that hangs on them; each table is written anew beside the old one before it takes its place."""
-    tables = {name: vault.read(name) for name in vault.tables() if name in ("documents", "chunks", "embeddings", "fingerprints")}
-    ids = gone.select("document_id").distinct().persist()
-    if not ids.count():
-        return
-    left = maintenance.delete_documents(tables, ids)
-    for name, rows in left.items():
-        rows.write.mode("overwrite").parquet(vault.path(f"{name}-next"))
-    for name in left:
-        fs, at = vault._fs(vault.path(name))
-        fs.delete(at, True)
-        fs.rename(vault._fs(vault.path(f"{name}-next"))[1], at)
-        vault.spark.catalog.refreshByPath(vault.path(name))
-    ids.unpersist()
-
-
-def reprocess(vault: Vault, prefix: str, files: DataFrame, **settings) -> dict[str, int]:
-    """Deletes all documents under a path and takes the files in again."""
-    remove(vault, vault.read("documents").filter(F.col("file_path").startswith(prefix)))
-    return ingest_batch(vault, files.filter(F.col("path").startswith(prefix)), **settings)
+def scan_once(vault: Vault, root: str, glob: str = "*", settings: Settings | None = None, settle: float = 0.0) -> dict[str, int]:
+    """Holds the files under ``root`` against the last listing; what is new, modified or gone becomes one version.
+
+    The listing is a table of the vault, so a restart goes on from it. Only files whose time or length changed are read; those
+    whose content is as before are only listed anew. A file that changed less than ``settle`` seconds ago waits for a later scan.
+    """
+    settings = settings or Settings()
+    spark = vault.spark
+    fs, at = vault._fs(root)
+    below = fs.makeQualified(at).toString().rstrip("/") + "/"
+    present = written(files.walk(spark, root, glob).select("path", F.col("modificationTime").alias("modified"), "length"), "listing")
+    seen = present.filter(F.col("modified") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(settle)))) if settle else present
+
+    def make(change: Change) -> dict[str, int]:
+        listed, documents = change.read("listing"), change.read("documents")
+        listed = spark.createDataFrame([], LISTING) if listed is None else listed
+        was = listed.filter(F.col("path").startswith(below))
+        if documents is not None:
+            # what came in by other ways was never listed
+            taken = documents.filter(F.col("file_path").startswith(below)).select(F.col("file_path").alias("path"), F.lit(None).cast("timestamp").alias("modified"), F.lit(None).cast("long").alias("length"), "content_hash")
+            was = was.unionByName(taken.join(was.select("path"), "path", "left_anti"))
+        was = written(was, "was")
+        touched = seen.join(was, ["path", "modified", "length"], "left_anti").select("path", "modified", "length")
+        content = files.walk(spark, root, glob).select("path", "content").join(touched.select("path"), "path", "left_semi")
+        hashed = content.select("path", F.sha2("content", 256).alias("content_hash")).join(touched, "path")
+        status = F.when(F.col("before").isNull(), "new").when(F.col("before") == F.col("content_hash"), "same").otherwise("modified")
+        found = written(hashed.join(was.select("path", F.col("content_hash").alias("before")), "path", "left").withColumn("status", status), "found")
+        gone = written(was.join(present.select("path"), "path", "left_anti").select("path"), "gone")
+        counts = {r["status"]: r["n"] for r in found.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        deleted = gone.count()
+        if not counts and not deleted:
+            return {"new": 0, "skipped": 0, "unsupported": 0, "errors": 0, "modified": 0, "deleted": 0}
+        paths = written(gone.unionByName(found.filter("status = 'modified'").select("path")), "replaced")
+        wanted = found.filter("status IN ('new', 'modified')").select("path")
+        if documents is not None and deleted + counts.get("modified", 0):
+            lost = written(documents.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select("document_id", "content_hash"), "lost")
+            drop(change, lost, settings)
+            # another file with what went was skipped as its copy, and brings it in again
+            copies = was.join(paths, "path", "left_anti").join(lost.select("content_hash").distinct(), "content_hash", "left_semi").select("path")
+            wanted = wanted.unionByName(copies).distinct()
+        counted = take(change, files.walk(spark, root, glob).select("path", "content").join(wanted, "path", "left_semi"), settings)
+        others = listed.join(gone, "path", "left_anti").join(found.select("path"), "path", "left_anti")
+        change.replace("listing", others.unionByName(found.select("path", "modified", "length", "content_hash")))
+        skipped = counted["skipped"] + counts.get("same", 0)
+        return counted | {"skipped": skipped, "modified": counts.get("modified", 0), "deleted": deleted}
+
+    out = committed(vault, make)
+    if settings.embedder is not None:
+        queue.drain(vault, settings.embedder, settings.prefixer)
+    return out
+
+
+def follow(spark: SparkSession, root: str, vault: Vault, checkpoint: str, interval: str = "60 seconds", glob: str = "*", settings: Settings | None = None, settle: float = 0.5) -> StreamingQuery:
+    """Scans for new, changed and deleted files every ``interval``, until it is stopped; each scan that finds any is a version."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _rows, _n: scan_once(vault, root, glob, settings, settle) and None).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
+def drain(vault: Vault, embedder: embedding.Embedder, prefixer: embedding.Prefixer | None = None) -> int:
+    """Embeds all chunks that have no vector of this model, also those that were taken in without an embedder; returns how many."""
+    committed(vault, lambda change: queue.enqueue_missing(change, embedder.model))
+    return queue.drain(vault, embedder, prefixer)
+
+
+def sync(vault: Vault, root: str, settings: Settings | None = None) -> dict[str, int]:
+    """A full scan: what is new is taken in, what changed replaces what it was, what is gone is deleted, all in one version."""
+    return scan_once(vault, root, settings=settings)
+
+
+def remove(vault: Vault, gone: DataFrame, settings: Settings | None = None) -> int:
+    """Deletes documents (document_id) with all that hangs on them as one version."""
+    return committed(vault, lambda change: drop(change, gone, settings or Settings()))
+
+
+def reprocess(vault: Vault, prefix: str, rows: DataFrame, settings: Settings | None = None) -> dict[str, int]:
+    """Deletes all documents under a path and takes the files in again, as one version."""
+    settings = settings or Settings()
+
+    def make(change: Change) -> dict[str, int]:
+        drop(change, change.read("documents").filter(F.col("file_path").startswith(prefix)), settings)
+        return take(change, rows.filter(F.col("path").startswith(prefix)), settings)
+
+    counts = committed(vault, make)
+    if settings.embedder is not None:
+        queue.drain(vault, settings.embedder, settings.prefixer)
+    return counts

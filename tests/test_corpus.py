@@ -19,7 +19,7 @@ from corpusmill import config
 from corpusmill.corpus import Corpus
 from corpusmill.functions import chunking, embedding, redaction, scoring, text
 from corpusmill.operators import enrichment, evaluation, maintenance, near, rerank, retrieval
-from corpusmill.sources import files, readers
+from corpusmill.sources import files, readers, vault
 from corpusmill.streaming import ingest
 
 # splitter
@@ -374,27 +374,27 @@ def test_corpus(spark, tmp_path):
     assert {r.file_name for r in corpus.vault.read("documents").collect()} == {"cats.md", "new.txt"}
     assert corpus.vault.read("embeddings").count() == corpus.vault.read("chunks").count() == 2
     copy = corpus.vault.copy_to(root, "two")
-    assert {r.vault: r.documents for r in files.vault_listing(spark, root).collect()} == {"one": 2, "two": 2}
+    assert {r.vault: r.documents for r in vault.vault_listing(spark, root).collect()} == {"one": 2, "two": 2}
     with pytest.raises(FileExistsError):
         corpus.vault.copy_to(root, "two")
     copy.delete()
     assert copy.tables() == []
     with pytest.raises(ValueError, match="name"):
-        files.Vault(spark, root, "No Name")
+        vault.Vault(spark, root, "No Name")
     assert corpus.vault.scan("documents", "file_name", prefix="ca").count() == 1 and corpus.vault.scan("documents", "file_name", "d", "z").count() == 1
 
 
 def test_stream_takes_files_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    vault = files.Vault(spark, str(tmp_path / "v"), "s")
+    mine = vault.Vault(spark, str(tmp_path / "v"), "s")
     for n in range(2):
         (source / f"{n}.txt").write_text(f"Some text number {n} that is long enough to be a chunk.")
-        query = ingest.watch(spark, str(source), vault, str(tmp_path / "cp"))
+        query = ingest.watch(spark, str(source), mine, str(tmp_path / "cp"))
         query.awaitTermination()
-    assert vault.read("documents").count() == 2 and "embeddings" not in vault.tables()
-    assert ingest.drain(vault, ingest.GuardedEmbedder(embedding.HashingEmbedder())) == 2
-    assert ingest.drain(vault, embedding.HashingEmbedder()) == 0
+    assert mine.read("documents").count() == 2 and "embeddings" not in mine.tables()
+    assert ingest.drain(mine, ingest.GuardedEmbedder(embedding.HashingEmbedder())) == 2
+    assert ingest.drain(mine, embedding.HashingEmbedder()) == 0
 
 
 def test_rendering(spark):
@@ -406,7 +406,7 @@ def test_rendering(spark):
 def test_the_rest_stands_without_the_training_operators(tmp_path):
     """A copy without their folders and their pipeline still imports and has all other queries."""
     root = Path(__file__).resolve().parent.parent
-    listed = subprocess.run(["git", "-C", str(root), "ls-files", "-co", "--exclude-standard", "*.py"], capture_output=True, text=True, check=True).stdout.split()
+    listed = [str(f.relative_to(root)) for f in root.rglob("*.py") if not any(part.startswith(".") for part in f.relative_to(root).parts)]
     for name in [f for f in listed if not f.startswith(("corpusmill/llm/", "tests/llm/")) and f != "corpus_pipeline.py"]:
         if (root / name).exists():
             (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
@@ -419,15 +419,10 @@ def test_the_rest_stands_without_the_training_operators(tmp_path):
     assert subprocess.run([sys.executable, "-c", said], cwd=tmp_path, capture_output=True, env={"PATH": "/usr/bin:/bin"}, check=False).returncode == 0
 
 
-def test_pool_utilisation_and_migration(spark):
+def test_pool_utilisation_and_what_to_enrich(spark):
     lists = spark.createDataFrame([("q", i) for i in range(3)] + [("p", 1)], "query_id string, chunk_id int")
     row = retrieval.pool_utilisation(lists, lists.filter("query_id = 'q'"), 3).first()
     assert (row.n, row.fetched, row.kept, row.saturated) == (2, 4, 3, 1)
-    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, content string")
-    e = embedding.HashingEmbedder()
-    old = embedding.embed_rows(chunks.limit(1), e, "chunk_id", "content").withColumn("model", F.lit("old"))
-    new = maintenance.migrate(chunks, old.unionByName(embedding.embed_rows(chunks.filter("chunk_id = 'b'"), e, "chunk_id", "content")), e.model, lambda rows: embedding.embed_rows(rows, e, "chunk_id", "content"))
-    assert {(r.chunk_id, r.model) for r in new.collect()} == {("a", e.model), ("b", e.model)}
     docs = spark.createDataFrame([(1, ("enriched",)), (2, ("failed",)), (3, None)], "document_id int, enrichment struct<status:string>")
     assert {r.document_id for r in maintenance.to_enrich(docs).collect()} == {2, 3}
     assert maintenance.baseline_frame(spark, maintenance.Kind("m", 4)).first().dim == 4
