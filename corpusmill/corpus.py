@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.config import Config
 from corpusmill.functions import chunking, embedding
-from corpusmill.operators import evaluation, maintenance, near, retrieval, segments
+from corpusmill.operators import evaluation, maintenance, near, retrieval, segments, vector_index
 from corpusmill.operators.rerank import Reranker
 from corpusmill.protocols import QueryClassifier, QueryTransformer, VectorIndex
 from corpusmill.sources import events, files
@@ -115,7 +115,8 @@ class Corpus:
         if request.dedup:
             siblings = lambda hits: near.hit_siblings(hits, view.read("fingerprints"), self.config.near_bits)
         index = segments.open_index(view) if request.mode != "semantic" else None
-        hits = retrieval.retrieve(queries, chunks, vectors, asked, request, index=index, reranker=self.reranker, siblings=siblings, vector_index=self.vectors, classifier=self.classifier)
+        nearest = self.vectors or (vector_index.open_vectors(view, facts.get("model", "")) if vectors is not None else None)
+        hits = retrieval.retrieve(queries, chunks, vectors, asked, request, index=index, reranker=self.reranker, siblings=siblings, vector_index=nearest, classifier=self.classifier)
         return retrieval.assemble(hits, view.read("chunks"), view.read("documents"), request.context)
 
     def query(self, text: str, request: retrieval.Request | None = None) -> list[dict]:
@@ -154,6 +155,10 @@ class Corpus:
         """Embeds what waits for it or has no vector."""
         return ingest.drain(self.vault, self.embedder, self.prefixer())
 
+    def cluster(self) -> None:
+        """Writes the vectors by cluster; queries read those in place of all until vectors change."""
+        ingest.committed(self.vault, lambda change: vector_index.store_index(change, change.facts["model"]))
+
     def migrate(self, embedder: embedding.Embedder, version: str = "") -> dict[str, int]:
         """Moves the corpus to another embedder; once all chunks have its vectors queries use it. Called again after a stop, it goes on."""
         prefixer = replace(self.prefixer(), model=embedder.model)
