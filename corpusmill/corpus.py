@@ -14,7 +14,7 @@ from corpusmill.config import Config
 from corpusmill.functions import chunking, embedding
 from corpusmill.operators import evaluation, maintenance, near, retrieval, segments, vector_index
 from corpusmill.operators.rerank import Reranker
-from corpusmill.protocols import QueryClassifier, QueryTransformer, VectorIndex
+from corpusmill.protocols import Captioner, Enricher, QueryClassifier, QueryTransformer, VectorIndex
 from corpusmill.sources import events, files
 from corpusmill.sources.vault import Vault
 from corpusmill.streaming import ingest, queue
@@ -27,11 +27,12 @@ class Corpus:
     version, so any writer's change makes them stale. ``index`` replaces the vector scan, ``transformer`` rewrites queries, and ``classifier`` says how many results they ask for.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, config: Config | None = None, embedder: embedding.Embedder | None = None, reranker: Reranker | None = None, *, index: VectorIndex | None = None, transformer: QueryTransformer | None = None, classifier: QueryClassifier | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, name: str, config: Config | None = None, embedder: embedding.Embedder | None = None, reranker: Reranker | None = None, *, index: VectorIndex | None = None, enricher: Enricher | None = None, captioner: Captioner | None = None, transformer: QueryTransformer | None = None, classifier: QueryClassifier | None = None) -> None:
         self.spark, self.config = spark, config or Config()
         self.vault = Vault(spark, root, name)
         self.embedder, self.reranker = embedder or embedding.HashingEmbedder(), reranker
         self.vectors, self.transformer, self.classifier = index, transformer, classifier
+        self.enricher, self.captioner = enricher, captioner
         self.threats = maintenance.ThreatSources()
         self.results = retrieval.ResultCache(self.config.cached_results)
         self.query_vectors = retrieval.ResultCache(self.config.cached_vectors)
@@ -40,7 +41,7 @@ class Corpus:
     def settings(self) -> ingest.Settings:
         c = self.config
         fields = retrieval.FIELDS if c.field_weights else retrieval.BODY
-        return ingest.Settings(self.embedder, self.prefixer(), chunking.Splitter(c.chunk_size, c.chunk_overlap, c.chunk_least), c.redacting, self.threats.phrases(), c.suspicious, c.quarantine, fields)
+        return ingest.Settings(self.embedder, self.prefixer(), chunking.Splitter(c.chunk_size, c.chunk_overlap, c.chunk_least), c.redacting, self.threats.phrases(), c.suspicious, c.quarantine, fields, self.enricher, self.captioner)
 
     def prefixer(self) -> embedding.Prefixer:
         c = self.config
@@ -73,12 +74,30 @@ class Corpus:
         self.events.write(type="delete", op="remove", path=prefix, seconds=time.perf_counter() - start, status="ok", new=-gone)
         return gone
 
+    def documents(self, view: Vault | None = None) -> DataFrame:
+        """Documents, with the tags of an enricher beside their own, and its summary."""
+        view = view or self.vault.at()
+        documents = view.read("documents")
+        if "enrichments" not in view.tables():
+            return documents
+        own = F.coalesce("tags", F.array().cast("array<string>"))
+        joined = documents.join(view.read("enrichments"), "document_id", "left")
+        made = F.coalesce("enrichment.tags", F.array().cast("array<string>"))
+        return joined.withColumn("tags", F.array_distinct(F.concat(own, made))).withColumn("summary", F.col("enrichment.summary"))
+
     def chunks(self, view: Vault | None = None) -> DataFrame:
         """Chunks with what filters name."""
         view = view or self.vault.at()
-        documents = view.read("documents").select("document_id", "file_path", "file_type", "tags")
+        documents = self.documents(view).select("document_id", "file_path", "file_type", "tags")
         return view.read("chunks").withColumn("text", F.col("content")).join(documents, "document_id")
 
+    def reenrich(self) -> dict[str, int]:
+        """Fills in tags, summaries and captions that are missing or failed; chunks that exist aren't embedded again."""
+        settings = self.settings()
+        counts = ingest.committed(self.vault, lambda change: ingest.enrich(change, settings))
+        queue.drain(self.vault, self.embedder, self.prefixer())
+        return counts
+
     def _vectors_of(self, queries: DataFrame) -> DataFrame:
         return embedding.embed_rows(queries, self.embedder, "query_id", "query", "query", self.prefixer()).select("query_id", "vector")
 
@@ -117,7 +136,7 @@ class Corpus:
         index = segments.open_index(view) if request.mode != "semantic" else None
         nearest = self.vectors or (vector_index.open_vectors(view, facts.get("model", "")) if vectors is not None else None)
         hits = retrieval.retrieve(queries, chunks, vectors, asked, request, index=index, reranker=self.reranker, siblings=siblings, vector_index=nearest, classifier=self.classifier)
-        return retrieval.assemble(hits, view.read("chunks"), view.read("documents"), request.context)
+        return retrieval.assemble(hits, view.read("chunks"), self.documents(view), request.context)
 
     def query(self, text: str, request: retrieval.Request | None = None) -> list[dict]:
         """The hits of one query, from the cache where nothing changed since."""
@@ -149,7 +168,7 @@ class Corpus:
         have = v.tables()
         vectors = v.read("embeddings") if "embeddings" in have else self.spark.createDataFrame([], "chunk_id string")
         waiting = v.read("queue") if "queue" in have else self.spark.createDataFrame([], queue.SCHEMA)
-        return maintenance.status_counts(v.read("documents"), v.read("chunks"), vectors, near.fingerprint_classes(v.read("fingerprints")), waiting)
+        return maintenance.status_counts(self.documents(v), v.read("chunks"), vectors, near.fingerprint_classes(v.read("fingerprints")), waiting)
 
     def drain(self) -> int:
         """Embeds what waits for it or has no vector."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
@@ -12,14 +11,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.chunking import identified
 from corpusmill.functions.text import normalise_tags
+from corpusmill.sources.shared import written
 
 if TYPE_CHECKING:
     from corpusmill.protocols import Captioner, Enricher
 
 #: Bytes of a document that are gathered, and of those what a model reads.
 GATHERED, READ = 8000, 4000
-#: Chunks of a document that are gathered; they hold more than what is read.
-FIRST_CHUNKS = 64
 
 
 def enrich(chunks: DataFrame, enricher: Enricher) -> DataFrame:
@@ -30,7 +28,8 @@ def enrich(chunks: DataFrame, enricher: Enricher) -> DataFrame:
     kind = F.col("kind") if "kind" in chunks.columns else F.lit(None).cast("string")
     captioned = F.coalesce(kind == "caption", F.lit(False))
     place = F.struct((~captioned).alias("late"), "chunk_index", F.substring("content", 1, GATHERED).alias("content"))
-    early = chunks.filter(captioned | (F.col("chunk_index") < FIRST_CHUNKS))
+    # a chunk that begins beyond what is gathered adds nothing, however small chunks are
+    early = chunks.filter(captioned | (F.col("start_char_idx") < GATHERED)) if "start_char_idx" in chunks.columns else chunks
     texts = early.groupBy("document_id").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["content"]), "\n"), 1, GATHERED).alias("text"))
     model = enricher.model
 
@@ -53,16 +52,17 @@ def enrich(chunks: DataFrame, enricher: Enricher) -> DataFrame:
     return made.select("document_id", F.struct(normalise_tags(F.col("tags")).alias("tags"), "summary", F.lit(model).alias("model"), F.current_timestamp().alias("generated_at"), "status").alias("enrichment"))
 
 
-def caption_images(documents: DataFrame, chunks: DataFrame, captioner: Captioner, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(caption chunks, cache): a chunk of kind ``caption`` for each document with images that a model could describe.
+def images_of(documents: DataFrame) -> DataFrame:
+    """(document_id, mime, page, data, sha): a row for each image of documents with an ``images`` column."""
+    images = documents.select("document_id", "mime", F.explode("images").alias("image"))
+    return images.select("document_id", "mime", "image.page", "image.data", F.sha2("image.data", 256).alias("sha"))
 
-    An image is asked for once, by its digest; ``cache`` (sha, caption, model) answers for those of before.
-    """
-    images = documents.select("document_id", "mime", F.explode("images").alias("image")).select("document_id", "mime", "image.page", "image.data", F.sha2("image.data", 256).alias("sha"))
+
+def captions_of(images: DataFrame, captioner: Captioner, known: DataFrame | None = None) -> DataFrame:
+    """(sha, caption, model) of images that ``known`` has no caption of this model for, each digest once. What can't be described is left out, and asked for again next time."""
     model = captioner.model
-    known = cache.filter(F.col("model") == model) if cache is not None else None
     asked = images.dropDuplicates(["sha"]).select("sha", "data")
-    asked = asked.join(known.select("sha"), "sha", "left_anti") if known is not None else asked
+    asked = asked.join(known.filter(F.col("model") == model).select("sha"), "sha", "left_anti") if known is not None else asked
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,15 +74,23 @@ def caption_images(documents: DataFrame, chunks: DataFrame, captioner: Captioner
                     said.append("")
             yield pd.DataFrame({"sha": batch["sha"], "caption": said, "model": model})
 
-    new = asked.mapInPandas(run, "sha string, caption string, model string").filter("caption <> ''")
-    every = new if known is None else known.select("sha", "caption", "model").unionByName(new)
-    lines = images.join(every, "sha").groupBy("document_id", "mime").agg(F.array_sort(F.collect_list(F.struct("page", F.concat(F.lit("Figure on page "), F.col("page").cast("string"), F.lit(": "), F.col("caption")).alias("line")))).alias("lines"))
+    return asked.mapInPandas(run, "sha string, caption string, model string").filter("caption <> ''")
+
+
+def caption_chunks(images: DataFrame, chunks: DataFrame, captions: DataFrame) -> DataFrame:
+    """A chunk of kind ``caption`` for each document with images that have captions (sha, caption), after its last chunk."""
+    lines = images.join(captions.select("sha", "caption"), "sha").groupBy("document_id", "mime").agg(F.array_sort(F.collect_list(F.struct("page", F.concat(F.lit("Figure on page "), F.col("page").cast("string"), F.lit(": "), F.col("caption")).alias("line")))).alias("lines"))
     sizes = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_index"))
     made = lines.join(sizes, "document_id", "left").withColumn("chunk_index", F.coalesce("chunk_index", F.lit(0)))
-    made = made.select("document_id", "mime", "chunk_index", F.lit("caption").alias("kind"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
-    return identified(made), every
+    return identified(made.select("document_id", "mime", "chunk_index", F.lit("caption").alias("kind"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content")))
+
 
+def caption_images(documents: DataFrame, chunks: DataFrame, captioner: Captioner, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(caption chunks, cache): a chunk for each document with images that a model could describe.
 
-def image_key(data: bytes) -> str:
-    """The digest under which an image's caption is kept."""
-    return hashlib.sha256(data).hexdigest()
+    An image is asked for once, by its digest; ``cache`` (sha, caption, model) answers for those of before.
+    """
+    images = images_of(documents)
+    new = written(captions_of(images, captioner, cache), "captions")
+    every = new if cache is None else cache.filter(F.col("model") == captioner.model).select("sha", "caption", "model").unionByName(new)
+    return caption_chunks(images, chunks, every), every

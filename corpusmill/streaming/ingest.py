@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import TypeVar
+from typing import TYPE_CHECKING, TypeVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.functions import chunking, embedding, redaction, scoring
-from corpusmill.functions.text import document_identity
-from corpusmill.operators import maintenance, retrieval, segments
+from corpusmill.functions.text import document_identity, token_estimate
+from corpusmill.operators import enrichment, maintenance, retrieval, segments
 from corpusmill.sources import files, readers
 from corpusmill.sources.files import OWN_FOLDER
 from corpusmill.sources.shared import written
 from corpusmill.sources.vault import Change, ConflictError, Vault
 from corpusmill.streaming import queue
 
+if TYPE_CHECKING:
+    from corpusmill.protocols import Captioner, Enricher
+
 T = TypeVar("T")
 
 
@@ -98,6 +101,8 @@ class Settings:
     suspicious: float = scoring.SUSPICIOUS
     quarantine: float = scoring.QUARANTINE
     fields: retrieval.Fields = retrieval.BODY
+    enricher: Enricher | None = None
+    captioner: Captioner | None = None
 
 
 def field_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -112,6 +117,66 @@ def _indexed(chunks: DataFrame, documents: DataFrame, fields: retrieval.Fields)
     return chunks.select("chunk_id", F.col("content").alias("text")) if fields == retrieval.BODY else field_rows(chunks, documents)
 
 
+def _follow_up(change: Change, chunks: DataFrame, documents: DataFrame, settings: Settings) -> None:
+    """What new chunks bring with them: fingerprints, a segment of the index, a place in the queue."""
+    keyed = chunks.select(F.struct("chunk_id", "token_count").alias("k"), "content")
+    change.append("fingerprints", scoring.simhash(keyed, "k", "content").select("k.chunk_id", "k.token_count", "fingerprint"))
+    segments.add(change, _indexed(chunks, documents, settings.fields), settings.fields)
+    if settings.embedder is not None:
+        queue.enqueue(change, chunks, settings.embedder.model)
+    for table in ("documents", "chunks", "fingerprints", "images"):
+        change.compact(table)
+    segments.compact(change)
+
+
+def enrich(change: Change, settings: Settings) -> dict[str, int]:
+    """Tags, summaries and captions that are missing: by document and model, by image digest and model. Run again it does what failed, and nothing twice.
+
+    A caption becomes a chunk of its own, which is indexed and embedded like others.
+    """
+    counts = {"captions": 0, "enriched": 0, "failed": 0}
+    images, chunks = change.read("images"), change.read("chunks")
+    if settings.captioner is not None and images is not None:
+        known = change.read("captions")
+        new = enrichment.captions_of(images, settings.captioner, known)
+        change.append("captions", new)
+        kind = chunks.filter("kind = 'caption'") if "kind" in chunks.columns else chunks.limit(0)
+        bare = images.join(kind.select("document_id"), "document_id", "left_anti")
+        said = change.read("captions").filter(F.col("model") == settings.captioner.model)
+        made = enrichment.caption_chunks(bare, chunks, said).withColumn("token_count", token_estimate(F.col("content")))
+        made = scoring.poison_scores(made, "content", settings.phrases, settings.suspicious, settings.quarantine)
+        made = written(made, "captioned")
+        counts["captions"] = made.count()
+        if counts["captions"]:
+            added, documents = change.append("chunks", made), change.read("documents")
+            _follow_up(change, added, documents, settings)
+            more = documents.join(added.select("document_id"), "document_id", "left_semi").withColumn("chunk_count", F.col("chunk_count") + 1)
+            change.merge("documents", "document_id", more)
+            chunks = change.read("chunks")
+    if settings.enricher is not None and chunks is not None:
+        have = change.read("enrichments")
+        if have is not None:
+            done = have.filter((F.col("enrichment.status") != "failed") & (F.col("enrichment.model") == settings.enricher.model))
+            chunks = chunks.join(done.select("document_id"), "document_id", "left_anti")
+        made = written(enrichment.enrich(chunks, settings.enricher), "enriched")
+        for r in made.groupBy("enrichment.status").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts["failed" if r["status"] == "failed" else "enriched"] += r["n"]
+        if have is None:
+            change.append("enrichments", made)
+        else:
+            change.merge("enrichments", "document_id", made)
+            change.compact("enrichments")
+    return counts
+
+
+def _after(vault: Vault, settings: Settings) -> None:
+    """The stages that follow a version with new files, each idempotent and a version of its own."""
+    if settings.enricher is not None or settings.captioner is not None:
+        committed(vault, lambda change: enrich(change, settings))
+    if settings.embedder is not None:
+        queue.drain(vault, settings.embedder, settings.prefixer)
+
+
 def take(change: Change, files: DataFrame, settings: Settings) -> dict[str, int]:
     """Adds a batch of files (path, content) to a change: counts of new, skipped, unsupported and failed files. Content that is stored already is skipped."""
     parsed = written(readers.parse_files(files), "parsed")
@@ -125,14 +190,8 @@ def take(change: Change, files: DataFrame, settings: Settings) -> dict[str, int]
         sizes = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         stored = fresh.drop("images", "error").join(sizes, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
         documents = change.append("documents", stored)
-        keyed = chunks.select(F.struct("chunk_id", "token_count").alias("k"), "content")
-        change.append("fingerprints", scoring.simhash(keyed, "k", "content").select("k.chunk_id", "k.token_count", "fingerprint"))
-        segments.add(change, _indexed(chunks, documents, settings.fields), settings.fields)
-        if settings.embedder is not None:
-            queue.enqueue(change, chunks, settings.embedder.model)
-        for table in ("documents", "chunks", "fingerprints"):
-            change.compact(table)
-        segments.compact(change)
+        change.append("images", enrichment.images_of(fresh))
+        _follow_up(change, chunks, documents, settings)
     return {"new": new, "skipped": counts.get("ok", 0) - new, "unsupported": counts.get("unsupported", 0), "errors": counts.get("error", 0)}
 
 
@@ -151,8 +210,8 @@ def drop(change: Change, gone: DataFrame, settings: Settings) -> int:
             queue.count_profile(change, have.join(said.select("chunk_id"), "chunk_id", "left_semi"), -1)
         for table in ("embeddings", "fingerprints", "queue"):
             change.delete(table, "chunk_id", said)
-        change.delete("chunks", "document_id", lost)
-        change.delete("documents", "document_id", lost)
+        for table in ("chunks", "images", "enrichments", "documents"):
+            change.delete(table, "document_id", lost)
     return n
 
 
@@ -176,8 +235,7 @@ def ingest_batch(vault: Vault, files: DataFrame, settings: Settings | None = Non
     """
     settings = settings or Settings()
     counts = committed(vault, lambda change: take(change, files, settings))
-    if settings.embedder is not None:
-        queue.drain(vault, settings.embedder, settings.prefixer)
+    _after(vault, settings)
     return counts
 
 
@@ -246,8 +304,7 @@ def scan_once(vault: Vault, root: str, glob: str = "*", settings: Settings | Non
         return counted | {"skipped": skipped, "modified": counts.get("modified", 0), "deleted": deleted}
 
     out = committed(vault, make)
-    if settings.embedder is not None:
-        queue.drain(vault, settings.embedder, settings.prefixer)
+    _after(vault, settings)
     return out
 
 
@@ -282,6 +339,5 @@ def reprocess(vault: Vault, prefix: str, rows: DataFrame, settings: Settings | N
         return take(change, rows.filter(F.col("path").startswith(prefix)), settings)
 
     counts = committed(vault, make)
-    if settings.embedder is not None:
-        queue.drain(vault, settings.embedder, settings.prefixer)
+    _after(vault, settings)
     return counts

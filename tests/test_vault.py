@@ -410,6 +410,77 @@ def test_verdicts_are_stored_and_thresholds_relabel(spark, tmp_path):
     assert corpus.rescan() == 0
 
 
+# enrichment
+
+
+class Tagger:
+    model = "tagger"
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def enrich(self, text):
+        import os
+
+        if os.path.exists(f"{self.folder}/down"):
+            raise OSError("down")
+        open(f"{self.folder}/asked-{hash(text)}", "a").write("x")
+        return ["Auto Tag"], text[:12]
+
+
+class Painter:
+    model = "painter"
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def caption(self, image):
+        import uuid
+
+        open(f"{self.folder}/seen-{uuid.uuid4().hex}", "w").close()
+        return "a lighthouse above the cliffs"
+
+
+def png(width):
+    import struct
+    import zlib
+
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, 1, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"\0" + b"\0" * width)) + part(b"IEND", b"")
+
+
+def test_captions_and_tags_come_with_the_stream_and_are_made_once(spark, tmp_path):
+    source, calls_ = tmp_path / "in", tmp_path / "calls"
+    put(source, a="Sailors steer by the stars at night on open seas.")
+    calls_.mkdir()
+    (source / "one.png").write_bytes(png(3))
+    corpus = Corpus(spark, str(tmp_path / "v"), "e", enricher=Tagger(calls_), captioner=Painter(calls_))
+    (calls_ / "down").write_text("")
+    watched = lambda: ingest.watch(spark, str(source), corpus.vault, str(tmp_path / "cp"), settings=corpus.settings()).awaitTermination()
+    watched()
+    assert paths(corpus.query("lighthouse", KEYWORD)) == ["one.png"] and corpus.query("lighthouse cliffs", retrieval.Request(mode="semantic"))[0]["file_path"].endswith("one.png")
+    assert corpus.query("stars", retrieval.Request(mode="keyword", tags=("auto-tag",))) == [] and corpus.status().first().enriched == 0
+    (calls_ / "down").unlink()
+    vectors = corpus.vault.read("embeddings").count()
+    assert corpus.reenrich() == {"captions": 0, "enriched": 2, "failed": 0}
+    assert paths(corpus.query("stars", retrieval.Request(mode="keyword", tags=("auto-tag",)))) == ["a.txt"] and corpus.status().first().enriched == 2
+    assert corpus.query("stars", KEYWORD)[0]["summary"] == "Sailors stee" and corpus.vault.read("embeddings").count() == vectors
+    version = corpus.vault.version()
+    asked = sorted(f.name for f in calls_.iterdir())
+    assert corpus.reenrich() == {"captions": 0, "enriched": 0, "failed": 0}
+    # the same picture under another name is a copy; nothing is asked again
+    put(source, b="Ships leave the harbour at dawn when the tide is high.")
+    watched()
+    again = sorted(f.name for f in calls_.iterdir())
+    assert corpus.vault.version() > version and sum(n.startswith("seen") for n in again) == sum(n.startswith("seen") for n in asked) == 1 and len(again) == len(asked) + 1
+    corpus.remove(corpus.vault.read("documents").filter("file_path LIKE '%one.png'").first().file_path)
+    assert corpus.query("lighthouse", KEYWORD) == [] and corpus.vault.read("images").count() == 0
+
+
+def test_without_models_there_is_nothing_to_enrich(corpus):
+    assert corpus.reenrich() == {"captions": 0, "enriched": 0, "failed": 0}
+
+
 # events
 
 
