@@ -28,6 +28,8 @@ REGION_ROWS, REGION_SHINGLES = 1024, 2_000_000
 PIVOTS, DEPTH = 8, 4
 #: A region is split where no part has more than this share of it and all parts together, members that stand in several included, no more than so many times its members.
 LARGEST, TOGETHER = 0.75, 1.5
+#: Bytes of a cell's key that are kept: strangers that share one by chance share too few to be held against each other.
+CELL_BYTES = 6
 #: Buckets of a region's table of how often its shingles occur, which orders them; any order is exact, a good one makes few pairs.
 SKETCH = 1 << 14
 
@@ -126,8 +128,31 @@ def cells_of(found: np.ndarray, rule: Rule) -> tuple[np.ndarray, int]:
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, dtype=np.int64), least or 0
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """The first CELL_BYTES of each key, one after another."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :CELL_BYTES].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    found = np.zeros((len(data) // CELL_BYTES, 8), dtype=np.uint8)
+    found[:, :CELL_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, CELL_BYTES)
+    return found.reshape(-1).view(np.int64)
+
+
+def _cells(nodes: DataFrame) -> DataFrame:
+    """(node, cell): a row for each cell of a node; two that the kept bytes don't tell apart stay two, as cells are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [unpacked(c.as_py()) for c in batch.column("cells")]
+            names = np.repeat(batch.column("node").to_numpy(), [len(c) for c in cells])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *cells]), pa.int64())], names=["node", "cell"])
+
+    return nodes.select("node", "cells").mapInArrow(run, "node long, cell long")
+
+
 def _sets(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, f, r, n, s1, s2, cells, need): size, 128-bit digest and cells of each row's set, and what ``cells_of`` says of them."""
+    """(doc_id, f, r, n, s1, s2, cells, need): size, 128-bit digest and packed cells of each row's set, and what ``cells_of`` says of them."""
     kept = rows.select("doc_id", "f", "r", body().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +166,13 @@ def _sets(rows: DataFrame, rule: Rule) -> DataFrame:
                 first.append(int.from_bytes(digest[:8], "little", signed=True))
                 second.append(int.from_bytes(digest[8:], "little", signed=True))
                 keys, need = cells_of(found, rule)
-                cells.append(keys)
+                cells.append(packed(keys))
                 needs.append(need)
-            made = [pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(needs, pa.int32())]
+            made = [pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(cells, pa.binary()), pa.array(needs, pa.int32())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "f", "r")), *made], names=["doc_id", "f", "r", "n", "s1", "s2", "cells", "need"])
 
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, f long, r long, n long, s1 long, s2 long, cells array<long>, need int")
+    return kept.mapInArrow(run, f"doc_id {kind}, f long, r long, n long, s1 long, s2 long, cells binary, need int")
 
 
 def candidate_regions(nodes: DataFrame) -> DataFrame:
@@ -161,7 +186,7 @@ def candidate_regions(nodes: DataFrame) -> DataFrame:
     so a cell that they share keeps both. Passages common to many texts so cost little.
     """
     # one shuffle of the cells serves both the count and the join: both sides read the same columns of it
-    cells = nodes.select("node", F.explode("cells").alias("cell")).repartition("cell")
+    cells = _cells(nodes).repartition("cell")
     counted = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_first"), F.max("node").alias("_last")).filter("_first < _last")
     shared = written(cells.join(counted.select("cell", "n"), "cell"), "cells")
     company = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_cells"), F.sum("n").alias("score"))
@@ -410,7 +435,7 @@ def link_documents(rows: DataFrame, rule: Rule) -> DataFrame:
     classes = table.select(*class_key, "id").groupBy("s1", "s2", "alone").agg(F.min("id").alias("node"))
     member = table.select("doc_id", "f", "r", "n", "id", *class_key).alias("t").join(classes.alias("c"), (F.col("t.s1") == F.col("c.s1")) & (F.col("t.s2") == F.col("c.s2")) & F.col("t.alone").eqNullSafe(F.col("c.alone")))
     member = written(member.select("t.doc_id", "f", "r", "n", "id", "node"), "members")
-    nodes = table.filter("size(cells) > 0").groupBy("s1", "s2").agg(F.min_by("cells", "id").alias("cells"), F.min("need").alias("need"), F.min("id").alias("node")).select("node", "cells", "need")
+    nodes = table.filter("length(cells) > 0").groupBy("s1", "s2").agg(F.min_by("cells", "id").alias("cells"), F.min("need").alias("need"), F.min("id").alias("node")).select("node", "cells", "need")
     regions = written(candidate_regions(nodes), "regions")
     wanted = written(regions.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(member.filter("id = node").select("node", "f", "r"), "node"), "wanted")
     small = wanted.count() <= BROADCAST_NODES
