@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import body, located
+from corpusmill.llm.common import body, located, written
 
 #: Entries of each worker's cache of word hashes.
 CACHE_ENTRIES = 500_000
@@ -245,20 +245,22 @@ class PassageAutomaton:
         self.machine.make_automaton()
         self.pending = {}
 
-    def stream(self, words: list[bytes], key: int) -> tuple[list[int], list[int]]:
-        """Where windows start that a smaller key has, and where those start that none has so far; these are kept under ``key``."""
+    def stream(self, words: list[bytes], key: int) -> tuple[list[int], list[int], list[int]]:
+        """Where windows start that a smaller key has, that this key has from another row, and that none has so far; these are kept under ``key``."""
         if len(self.pending) > len(self.keys) // 2:
             self._compile()
         number = self.ids.setdefault
         ids = tuple([number(w, len(self.ids) + 1) for w in words])
         first = {end - self.window + 1: self.keys[at] for end, at in self.machine.iter(ids)} if self.keys else {}
-        smaller, new = [], []
+        smaller, same, new = [], [], []
         for i in range(len(ids) - self.window + 1):
             seen = first.get(i)
             if seen is None:
-                seen = self.pending.setdefault(ids[i : i + self.window], key)
-            (smaller if seen < key else new).append(i)
-        return smaller, new
+                seen = self.pending.get(passage := ids[i : i + self.window])
+                if seen is None:
+                    self.pending[passage] = key
+            (new if seen is None else smaller if seen < key else same).append(i)
+        return smaller, same, new
 
 
 def _located(dealt: DataFrame, window: int) -> DataFrame:
@@ -273,14 +275,15 @@ def _located(dealt: DataFrame, window: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
             rows: list[tuple] = []
-            shard, level, salt, owner, f, r, k, start = (batch.column(c).to_pylist() for c in ("shard", "level", "salt", "owner", "f", "r", "k", "start"))
+            shard, level, salt, owner, owns, f, r, k, start = (batch.column(c).to_pylist() for c in ("shard", "level", "salt", "owner", "owns", "f", "r", "k", "start"))
             for at, text in enumerate(batch.column("words")):
                 if (now := (shard[at], level[at], salt[at])) != group:
                     group, automaton = now, PassageAutomaton(window)
                 words = text.as_py().encode().split()
-                smaller, new = automaton.stream(words, k[at])
-                if level[at] and k[at] != owner[at]:
-                    rows += [(f[at], r[at], k[at], start[at] + i, window, b" ".join(words[i : i + window]).decode()) for i in new]
+                smaller, same, new = automaton.stream(words, k[at])
+                if level[at] and not owns[at]:
+                    # another row of the least key tells other salts only what this one has not heard yet
+                    rows += [(f[at], r[at], k[at], start[at] + i, window, b" ".join(words[i : i + window]).decode()) for i in (new if k[at] == owner[at] else sorted([*same, *new]))]
                 begin = end = None
                 for i in [*smaller, None]:
                     if i is not None and end is not None and i <= end:
@@ -292,7 +295,7 @@ def _located(dealt: DataFrame, window: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["f", "r", "k", "start", "length", "open"])
 
-    return dealt.select("shard", "level", "salt", "owner", "f", "r", "k", "start", "words").mapInArrow(run, "f long, r long, k long, start int, length int, open string")
+    return dealt.select("shard", "level", "salt", "owner", "owns", "f", "r", "k", "start", "words").mapInArrow(run, "f long, r long, k long, start int, length int, open string")
 
 
 def _cut(joined: DataFrame, names: list[str]) -> DataFrame:
@@ -320,6 +323,15 @@ def _cut(joined: DataFrame, names: list[str]) -> DataFrame:
     return joined.select("f", "r", "k", "doc_id", "z", "spans").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, " + ", ".join(f"{n} string" for n in names))
 
 
+def _repeated(texts: DataFrame) -> DataFrame:
+    """(f, r, again) of rows whose key an earlier row has: all but one row of each key. Only keys are read, and where each is its own row nothing comes out."""
+    keys = texts.select("f", "r", "k")
+    often = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    rows = written(keys.join(often, "k"), "repeated-keys")
+    first = written(rows.groupBy("k").agg(F.min(F.struct("f", "r")).alias("first")), "first-rows")
+    return written(rows.join(first, "k").filter("struct(f, r) <> first").select("f", "r", F.lit(True).alias("again")), "repeated-rows")
+
+
 def covered_spans(texts: DataFrame, pressed: DataFrame, window: int, gram: int) -> DataFrame:
     """Word spans to remove by row: (f, r, spans).
 
@@ -328,7 +340,7 @@ def covered_spans(texts: DataFrame, pressed: DataFrame, window: int, gram: int)
     2. Documents emit the runs of windows around confirmed anchors. A run goes to the shard of its
        owner and of the part of the text where its anchors stand first, so a shard holds passages of
        PART_WORDS words at most of the owner. Anchors of many documents have a level, and level l
-       deals them to 2**l salts, each with the owner's run.
+       deals them to 2**l salts, each with the owner's run: that of one row, however many rows share the owner's key.
     3. Each shard streams its runs by key past an automaton of the passages before them.
     4. What salts leave open is decided by the least key that has the window, whose whole text is compared.
     """
@@ -339,11 +351,12 @@ def covered_spans(texts: DataFrame, pressed: DataFrame, window: int, gram: int)
     recurring = found.select("h", "f", "r").join(confirmed, "h").groupBy("f", "r").agg(F.collect_list(F.struct("h", "owner", "part", "level")).alias("recurring"))
     # a left join here as in remove_passages, so that both read one exchange of the texts
     runs = _runs(pressed.join(recurring, ["f", "r"], "left"), window, gram)
-    owns, salts = F.col("k") == F.col("owner"), F.call_function("shiftleft", F.lit(1), F.col("level"))
-    salt = F.explode(F.when(owns, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("f", "r"), salts).cast("int"))))
-    dealt = runs.select(F.xxhash64("owner", "part").alias("shard"), "level", salt.alias("salt"), "owner", "f", "r", "k", "start", "words")
+    runs = runs.join(_repeated(texts), ["f", "r"], "left").withColumn("owns", (F.col("k") == F.col("owner")) & F.col("again").isNull())
+    salts = F.call_function("shiftleft", F.lit(1), F.col("level"))
+    salt = F.explode(F.when(F.col("owns"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("f", "r"), salts).cast("int"))))
+    dealt = runs.select(F.xxhash64("owner", "part").alias("shard"), "level", salt.alias("salt"), "owner", "owns", "f", "r", "k", "start", "words")
     ordered = dealt.repartition("shard", "level", "salt").sortWithinPartitions("shard", "level", "salt", "k", "f", "r", "start")
-    # of a window that is left open each salt has one row at most for each row of its least key; covered words stay by themselves
+    # of a window that is left open each salt has one row of its least key at most; covered words stay by themselves
     apart = F.when(F.col("open").isNull(), F.xxhash64("f", "r", "start"))
     marked = _located(ordered, window).withColumn("least", F.min("k").over(Window.partitionBy("open", apart)))
     covered = marked.filter("open IS NULL OR least < k")

@@ -66,10 +66,13 @@ def number_slots(rows: DataFrame, key: list[str], bucket_rows: int = BUCKET_ROWS
     Rows are dealt to buckets by a hash of ``key`` and numbered by it within (shard, bucket). There are
     so many buckets that one holds ``bucket_rows`` rows on average. The counts of the buckets give
     each its first number; they are joined by the same two columns, which moves only the counts.
-    Ties are rows that are equal in ``key``. ``rows`` must be stored, for it is read three times.
+    Ties are rows that are equal in ``key``; they are told apart by their number in storage, so that however many
+    there are they fall into all buckets. ``rows`` must be stored, for it is read three times.
     """
     buckets = max(64, -(-rows.count() // bucket_rows))
-    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    where = rows.metadataColumn("_metadata")
+    place = [where["file_path"], where["row_index"]]
+    bucketed = rows.select("*", F.pmod(F.xxhash64(*key, *place), F.lit(buckets)).cast("int").alias("_bucket"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = bucketed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("shard", "_bucket").orderBy(*key)
