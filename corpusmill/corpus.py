@@ -14,7 +14,7 @@ from corpusmill.config import Config
 from corpusmill.functions import chunking, embedding
 from corpusmill.operators import evaluation, maintenance, near, retrieval, segments, vector_index
 from corpusmill.operators.rerank import Reranker
-from corpusmill.protocols import Captioner, Enricher, QueryClassifier, QueryTransformer, VectorIndex
+from corpusmill.protocols import Captioner, Detector, Enricher, QueryClassifier, QueryTransformer, VectorIndex
 from corpusmill.sources import events, files
 from corpusmill.sources.vault import Vault
 from corpusmill.streaming import ingest, queue
@@ -27,12 +27,12 @@ class Corpus:
     version, so any writer's change makes them stale. ``index`` replaces the vector scan, ``transformer`` rewrites queries, and ``classifier`` says how many results they ask for.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, config: Config | None = None, embedder: embedding.Embedder | None = None, reranker: Reranker | None = None, *, index: VectorIndex | None = None, enricher: Enricher | None = None, captioner: Captioner | None = None, transformer: QueryTransformer | None = None, classifier: QueryClassifier | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, name: str, config: Config | None = None, embedder: embedding.Embedder | None = None, reranker: Reranker | None = None, *, index: VectorIndex | None = None, enricher: Enricher | None = None, captioner: Captioner | None = None, detector: Detector | None = None, transformer: QueryTransformer | None = None, classifier: QueryClassifier | None = None) -> None:
         self.spark, self.config = spark, config or Config()
         self.vault = Vault(spark, root, name)
-        self.embedder, self.reranker = embedder or embedding.HashingEmbedder(), reranker
+        self.embedder, self.reranker = embedder or embedding.embedder_of(self.config.embedding_model), reranker
         self.vectors, self.transformer, self.classifier = index, transformer, classifier
-        self.enricher, self.captioner = enricher, captioner
+        self.enricher, self.captioner, self.detector = enricher, captioner, detector
         self.threats = maintenance.ThreatSources()
         self.results = retrieval.ResultCache(self.config.cached_results)
         self.query_vectors = retrieval.ResultCache(self.config.cached_vectors)
@@ -41,7 +41,7 @@ class Corpus:
     def settings(self) -> ingest.Settings:
         c = self.config
         fields = retrieval.FIELDS if c.field_weights else retrieval.BODY
-        return ingest.Settings(self.embedder, self.prefixer(), chunking.Splitter(c.chunk_size, c.chunk_overlap, c.chunk_least), c.redacting, self.threats.phrases(), c.suspicious, c.quarantine, fields, self.enricher, self.captioner)
+        return ingest.Settings(self.embedder, self.prefixer(), chunking.Splitter(c.chunk_size, c.chunk_overlap, c.chunk_least), c.redacting, self.threats.phrases(), c.suspicious, c.quarantine, fields, self.enricher, self.captioner, self.detector)
 
     def prefixer(self) -> embedding.Prefixer:
         c = self.config
@@ -209,7 +209,8 @@ class Corpus:
 
     def rescan(self) -> int:
         """Judges all chunks under the phrases and thresholds that hold now; returns how many changed."""
-        return self._judged(lambda chunks: maintenance.rescan(chunks, self.threats.phrases(), self.config.suspicious, self.config.quarantine))
+        settings = self.settings()
+        return self._judged(lambda chunks: maintenance.rescan(chunks, judge=settings.judge))
 
     def drift(self, baseline: maintenance.Kind | None = None, version: str = "") -> tuple[str, list[str], maintenance.Kind | None]:
         """Holds the embedder against the stored baseline, or the one given, or what most vectors have; a baseline that is made on the way is stored."""
@@ -220,3 +221,15 @@ class Corpus:
         if found[2] is not None and stored is None and baseline is None:
             ingest.committed(self.vault, lambda change: change.put("baseline", asdict(found[2])))
         return found
+
+    def health(self, version: str = "") -> dict:
+        """Whether the tables can be read, the embedder answers, and queries may be served; and the backlog."""
+        try:
+            tables = self.vault.tables()
+        except Exception:  # noqa: BLE001 - whatever keeps the vault from being read
+            return {"ok": False, "storage": False, "embedder": False, "ready": False, "drift": "n/a", "queue": {}}
+        try:
+            verdict, reachable = self.drift(version=version)[0], True
+        except Exception:  # noqa: BLE001 - an embedder that can't be asked
+            verdict, reachable = "unknown", False
+        return {"ok": True, "storage": True, "embedder": reachable, "ready": maintenance.ready(verdict), "drift": verdict, "queue": queue.queue_counts(self.vault) if "queue" in tables else {}}

@@ -103,6 +103,16 @@ class HashingEmbedder:
         return out
 
 
+#: Embedders by the name of their model, which a setting may name; others are added by whoever has them.
+EMBEDDERS: dict[str, type] = {HashingEmbedder.model: HashingEmbedder}
+
+
+def embedder_of(model: str) -> Embedder:
+    if model not in EMBEDDERS:
+        raise KeyError(f"no embedder is registered for {model}")
+    return EMBEDDERS[model]()
+
+
 def embed_rows(rows: DataFrame, embedder: Embedder, key: str, text: str, role: str = "document", prefixer: Prefixer | None = None) -> DataFrame:
     """(key, model, convention, vector) for each row, in batches of 32 texts. Null reads as empty. A narrow map."""
     prefixer = prefixer or Prefixer(embedder.model)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -191,11 +192,11 @@ def reset(chunks: DataFrame, ids: DataFrame, suspicious: float = scoring.SUSPICI
 VERDICT = ("score", "level", "matched_phrases", "instruction", "repetition", "stuffing")
 
 
-def rescan(chunks: DataFrame, phrases: tuple[str, ...] = scoring.PHRASES, suspicious: float = scoring.SUSPICIOUS, quarantine: float = scoring.QUARANTINE) -> DataFrame:
-    """Chunks scored and labelled anew with ``phrases`` and thresholds; what was released keeps what it had."""
+def rescan(chunks: DataFrame, phrases: tuple[str, ...] = scoring.PHRASES, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Chunks scored and labelled anew with ``phrases``, or by ``judge``; what was released keeps what it had."""
     kept, judged = chunks.columns, [c for c in VERDICT if c in chunks.columns]
     was = chunks.withColumn("before", F.struct(*judged)) if judged else chunks
-    now = scoring.poison_scores(was, "content", phrases, suspicious, quarantine)
+    now = scoring.poison_scores(was, "content", phrases) if judge is None else judge(was)
     fresh = F.coalesce(F.col("before.level"), F.lit("")) != "released"
     return now.select(*(F.when(fresh, F.col(c)).otherwise(F.col(f"before.{c}")).alias(c) if c in judged else c for c in kept))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.sources.events import EVENT
+from corpusmill.sources.shared import written
 
 #: What a corpus keeps beside the files it was made of is never read as a file.
 OWN_FOLDER = ".corpusmill"
@@ -37,35 +38,46 @@ def golden_queries(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass
 class Benchmark:
-    """corpus (doc_id, title, text), queries (query_id, query) and qrels (query_id, doc_id, grade)."""
+    """corpus (doc_id, title, text, line), queries (query_id, query) and qrels (query_id, doc_id, grade)."""
 
     corpus: DataFrame
     queries: DataFrame
     qrels: DataFrame
 
 
-def read_benchmark(spark: SparkSession, root: str, split: str = "test") -> Benchmark:
-    """An unpacked benchmark: corpus.jsonl, queries.jsonl, qrels/<split>.tsv with a head line; a missing grade is 1."""
-    corpus = spark.read.schema("_id string, title string, text string").json(f"{root}/corpus.jsonl").withColumnRenamed("_id", "doc_id")
+def read_benchmark(spark: SparkSession, root: str, split: str = "") -> Benchmark:
+    """An unpacked benchmark: corpus.jsonl, queries.jsonl, qrels/<split>.tsv with a head line; a missing grade is 1.
+
+    Without a split it is ``dev`` where the folder's name says msmarco, whose test labels are not public, and ``test`` elsewhere.
+    """
+    split = split or ("dev" if "msmarco" in root.rstrip("/").rsplit("/", 1)[-1] else "test")
+    corpus = spark.read.schema("_id string, title string, text string").json(f"{root}/corpus.jsonl").withColumnRenamed("_id", "doc_id").withColumn("line", F.monotonically_increasing_id())
     queries = spark.read.schema("_id string, text string").json(f"{root}/queries.jsonl").select(F.col("_id").alias("query_id"), F.col("text").alias("query"))
     qrels = spark.read.csv(f"{root}/qrels/{split}.tsv", sep="\t", header=True, schema="query_id string, doc_id string, grade int", enforceSchema=True)
     return Benchmark(corpus, queries, qrels.withColumn("grade", F.coalesce("grade", F.lit(1))))
 
 
-def subsample(bench: Benchmark, max_queries: int, stride: int) -> Benchmark:
-    """Evenly spaced queries by id, all documents relevant to them, and every ``stride``-th of the rest.
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds ``number``, from 0 on in the order of columns. Sorted by range and counted by partition, so no task has all rows."""
+    placed = written(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    parts = placed.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each partition
+    before = parts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.col("_id").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part").withColumn("number", F.col("_before") + within).drop("_id", "_part", "_before")
 
-    Queries are few; documents are numbered by a hash of their id and not by a global order, so none are gathered.
-    """
-    judged = bench.queries.join(bench.qrels.select("query_id").distinct(), "query_id", "left_semi")
-    n = judged.count()
-    step = max(1, -(-n // max(1, max_queries)))
-    numbered = judged.withColumn("_n", F.row_number().over(Window.orderBy("query_id")) - 1)
-    queries = numbered.filter(F.col("_n") % step == 0).drop("_n")
+
+def subsample(bench: Benchmark, max_queries: int, stride: int) -> Benchmark:
+    """Evenly spaced queries by id, all documents relevant to them, and every ``stride``-th of the rest in the order of the file (by id where there was none)."""
+    judged = numbered(bench.queries.join(bench.qrels.select("query_id").distinct(), "query_id", "left_semi"), "query_id")
+    step = max(1, judged.count() // max(1, max_queries))
+    queries = judged.filter((F.col("number") % step == 0) & (F.col("number") < step * max_queries)).drop("number")
     qrels = bench.qrels.join(queries.select("query_id"), "query_id", "left_semi")
-    relevant = qrels.select("doc_id").distinct().withColumn("_relevant", F.lit(True))
-    kept = bench.corpus.join(relevant, "doc_id", "left").filter(F.col("_relevant") | (F.pmod(F.xxhash64("doc_id"), F.lit(stride)) == 0))
-    return Benchmark(kept.drop("_relevant"), queries, qrels)
+    relevant = qrels.select("doc_id").distinct()
+    columns = [c for c in bench.corpus.columns if c != "line"]
+    others = numbered(bench.corpus.join(relevant, "doc_id", "left_anti"), "line" if "line" in bench.corpus.columns else "doc_id")
+    kept = bench.corpus.join(relevant, "doc_id", "left_semi").select(*columns).unionByName(others.filter((F.col("number") + 1) % stride == 0).select(*columns))
+    return Benchmark(kept, queries, qrels)
 
 
 def rendered(hits: DataFrame, form: str = "json") -> DataFrame:

@@ -380,9 +380,12 @@ def _pdf_streams(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
         data = m["data"]
         if b"/FlateDecode" in m["dict"] and b"/Image" not in m["dict"]:
             try:
-                data = zlib.decompressobj().decompress(data, MEMBER_BYTES)
+                unpacking = zlib.decompressobj()
+                data = unpacking.decompress(data, MEMBER_BYTES)
             except zlib.error:
                 continue
+            if unpacking.unconsumed_tail:
+                raise ValueError(f"a stream unpacks to more than {MEMBER_BYTES} bytes")
         yield m["dict"], data
 
 

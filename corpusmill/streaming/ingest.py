@@ -22,7 +22,7 @@ from corpusmill.sources.vault import Change, ConflictError, Vault
 from corpusmill.streaming import queue
 
 if TYPE_CHECKING:
-    from corpusmill.protocols import Captioner, Enricher
+    from corpusmill.protocols import Captioner, Detector, Enricher
 
 T = TypeVar("T")
 
@@ -80,13 +80,13 @@ def documents_of(parsed: DataFrame) -> DataFrame:
     return parsed.filter("status = 'ok'").withColumn("metadata", meta).withColumn("document_id", document_identity(F.col("text"), F.col("mime"), F.col("metadata")))
 
 
-def chunks_of(documents: DataFrame, splitter: chunking.Splitter | None = None, redacting: bool = False, phrases: tuple[str, ...] = scoring.PHRASES, suspicious: float = scoring.SUSPICIOUS, quarantine: float = scoring.QUARANTINE) -> DataFrame:
+def chunks_of(documents: DataFrame, splitter: chunking.Splitter | None = None, redacting: bool = False, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Chunks with identity, links, breadcrumb, page and verdict. Redaction comes before splitting and moves the headings along."""
     rows = redaction.redact(documents) if redacting else documents
     chunks = chunking.linked(chunking.identified(chunking.chunk_documents(rows, splitter)))
     if "page_offsets" in documents.columns:
         chunks = chunks.join(documents.select("document_id", "page_offsets"), "document_id").withColumn("page_number", chunking.page_of(F.col("start_char_idx"), F.coalesce("page_offsets", F.array().cast("array<int>")))).drop("page_offsets")
-    return scoring.poison_scores(chunks, "content", phrases, suspicious, quarantine)
+    return judge(chunks) if judge is not None else scoring.poison_scores(chunks, "content")
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,11 @@ class Settings:
     fields: retrieval.Fields = retrieval.BODY
     enricher: Enricher | None = None
     captioner: Captioner | None = None
+    detector: Detector | None = None
+
+    def judge(self, chunks: DataFrame) -> DataFrame:
+        """Chunks with their verdicts: by the detector that was put in, else by phrases and repetition."""
+        return self.detector.detect(chunks, "content") if self.detector is not None else scoring.poison_scores(chunks, "content", self.phrases, self.suspicious, self.quarantine)
 
 
 def field_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -144,8 +149,7 @@ def enrich(change: Change, settings: Settings) -> dict[str, int]:
         bare = images.join(kind.select("document_id"), "document_id", "left_anti")
         said = change.read("captions").filter(F.col("model") == settings.captioner.model)
         made = enrichment.caption_chunks(bare, chunks, said).withColumn("token_count", token_estimate(F.col("content")))
-        made = scoring.poison_scores(made, "content", settings.phrases, settings.suspicious, settings.quarantine)
-        made = written(made, "captioned")
+        made = written(settings.judge(made), "captioned")
         counts["captions"] = made.count()
         if counts["captions"]:
             added, documents = change.append("chunks", made), change.read("documents")
@@ -185,7 +189,7 @@ def take(change: Change, files: DataFrame, settings: Settings) -> dict[str, int]
     fresh = written(maintenance.new_content(fresh, fresh.limit(0) if have is None else have), "fresh")
     new = fresh.count()
     if new:
-        made = chunks_of(fresh, settings.splitter, settings.redacting, settings.phrases, settings.suspicious, settings.quarantine)
+        made = chunks_of(fresh, settings.splitter, settings.redacting, settings.judge)
         chunks = change.append("chunks", made)
         sizes = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         stored = fresh.drop("images", "error").join(sizes, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))

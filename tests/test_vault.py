@@ -518,6 +518,24 @@ class Few:
         return F.when(query.contains("one"), 1).otherwise(0)
 
 
+class Strict:
+    def detect(self, rows, text):
+        bad = F.contains(text, F.lit("wheat"))
+        return rows.withColumn("score", F.when(bad, 0.9).otherwise(0.0)).withColumn("level", F.when(bad, "quarantine").otherwise("clean")).withColumn("matched_phrases", F.array().cast("array<string>"))
+
+
+def test_a_detector_judges_and_health_tells(spark, corpus, tmp_path):
+    own = Corpus(spark, corpus.vault.root, "v", detector=Strict())
+    assert own.rescan() and paths(own.query("river", KEYWORD)) == ["a.txt"]
+    put(tmp_path / "in", c="More wheat grows beside the river.")
+    own.ingest(str(tmp_path / "in"))
+    assert paths(own.query("river", KEYWORD)) == ["a.txt"] and own.query("wheat", retrieval.Request(mode="keyword", include_quarantined=True))
+    assert own.health() == {"ok": True, "storage": True, "embedder": True, "ready": True, "drift": "clean", "queue": {}}
+    assert not Corpus(spark, corpus.vault.root, "v", embedder=Other()).health()["ready"]
+    with pytest.raises(KeyError, match="registered"):
+        Corpus(spark, corpus.vault.root, "v", Config(embedding_model="unheard-of"))
+
+
 def test_parts_can_be_put_in(spark, corpus):
     index = Nearest()
     index.answer = corpus.vault.read("chunks").filter("content LIKE 'Bread%'").first().chunk_id
