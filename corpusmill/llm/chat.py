@@ -71,7 +71,7 @@ def flatten_parts(messages: DataFrame, visitor: PartVisitor | None = None) -> Da
     """Adds ``flat`` (text and placeholders in order), ``attachments`` (position, type, ref, tokens) and ``expanded_tokens``.
 
     ``parts`` is an array of PART; placeholders carry the part's position. A null list, part or
-    text adds nothing; an unknown type counts as text. Row by row, no shuffle.
+    text adds nothing; an unknown type counts as text. Row by row, no shuffle. Columns with these three names are replaced; others pass through.
     """
     visitor = visitor or PartVisitor()
     parts = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
