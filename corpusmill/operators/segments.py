@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.retrieval import BODY, Fields, TextIndex, counted_terms, exploded
+from corpusmill.operators.retrieval import BODY, Fields, TextIndex, corpus_stats, counted_terms, term_frequencies
+from corpusmill.sources.shared import written
 from corpusmill.sources.vault import Change, Vault
 
 #: Share of the indexed chunks that tombstones may come to before the segments that hold dead postings are written anew.
 PURGE = 0.2
+#: Chunks, with all their terms, that a file of a merged segment holds.
+CHUNKS_A_FILE = 20_000
 
 
 def _count(change: Change, postings: DataFrame, sign: int) -> None:
     """Adds a segment's terms to the vocabulary and its chunks to the statistics, or takes them off."""
-    n, total = postings.filter("place = 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    change.append("vocabulary", postings.groupBy("term").agg((sign * F.count(F.lit(1))).cast("long").alias("df")))
+    n, total = corpus_stats(postings.filter("dl > 0")).first()
+    change.append("vocabulary", term_frequencies(postings).withColumn("df", sign * F.col("df")))
     was = change.facts.get("text", [0, 0])
     change.put("text", [was[0] + sign * n, was[1] + sign * total])
 
 
 def add(change: Change, chunks: DataFrame, fields: Fields = BODY) -> None:
     """Indexes new chunks (chunk_id and the fields) as one more segment; nothing else is written."""
-    born = exploded(counted_terms(chunks, fields)).withColumn("born", F.lit(change.version))
+    born = counted_terms(chunks, fields).withColumn("born", F.lit(change.version))
     _count(change, change.append("postings", born), 1)
 
 
@@ -33,7 +36,7 @@ def remove(change: Change, chunks: DataFrame, fields: Fields = BODY) -> None:
     """
     if not change.rows("postings"):
         return
-    _count(change, exploded(counted_terms(chunks, fields)), -1)
+    _count(change, written(counted_terms(chunks, fields), "leaving"), -1)
     change.append("tombstones", chunks.select("chunk_id", F.lit(change.version).alias("died")))
     if change.rows("tombstones") > PURGE * max(1, change.facts["text"][0]):
         purge(change)
@@ -47,14 +50,14 @@ def _dead(postings: DataFrame, tombstones: DataFrame, how: str) -> DataFrame:
 def purge(change: Change) -> None:
     """Writes the segments that hold dead postings without them, and drops the tombstones."""
     stones, postings = change.read("tombstones"), change.read("postings")
-    dead = _dead(postings.filter("place = 0"), stones, "left_semi").select("chunk_id", "born").distinct()
+    dead = _dead(postings, stones, "left_semi").select("chunk_id", "born").distinct()
     change.delete("postings", ["chunk_id", "born"], dead)
     change.replace("tombstones", stones.limit(0))
 
 
 def compact(change: Change) -> None:
     """Merges segments of about one size."""
-    change.compact("postings")
+    change.compact("postings", rows_a_file=CHUNKS_A_FILE)
     change.compact("vocabulary", lambda rows: rows.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0"))
     change.compact("tombstones")
 
@@ -69,4 +72,4 @@ def open_index(vault: Vault) -> TextIndex | None:
     if "tombstones" in found.tables and found.tables["tombstones"].rows:
         postings = _dead(postings, table("tombstones"), "left_anti")
     stats = vault.spark.createDataFrame([tuple(found.facts["text"])], "n_chunks long, total_len long")
-    return TextIndex(postings.drop("place", "born"), table("vocabulary"), stats)
+    return TextIndex(postings.drop("born"), table("vocabulary"), stats)
