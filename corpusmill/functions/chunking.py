@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.functions.batches import slices
 from corpusmill.functions.text import chunk_identity
 
 # Model tokens for each word, and what ends a sentence.
@@ -115,7 +116,7 @@ def chunk_documents(docs: DataFrame, splitter: Splitter | None = None) -> DataFr
     kind = rows.schema["document_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out: list[tuple] = []
             mimes, texts, spans, edits = (batch.column(c) for c in ("mime", "text", "heading_spans", "edits"))
             ids = batch.column("document_id")

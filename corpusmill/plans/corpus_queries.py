@@ -57,7 +57,7 @@ def chunk_links(spark, sf_dir):
 
 @query(f"""WITH {CHUNKS} SELECT a.doc_id AS query_id, a.chunk_id, b.chunk_id AS neighbour_id, b.chunk_index - a.chunk_index AS "offset" FROM ids a JOIN ids b ON a.doc_id = b.doc_id AND a.chunk_index = 1 AND b.chunk_index <> 1 AND b.chunk_index <= 3""")
 def context_window(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
+    chunks = written(_chunks(spark, sf_dir).select("document_id", "chunk_index", "chunk_id"), "places")
     hits = chunks.filter("chunk_index = 1").select(F.col("document_id").alias("query_id"), "chunk_id")
     return retrieval.context_window(hits, chunks, 2)
 
