@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusmill.functions.batches import slices
 from corpusmill.functions.text import collapse, fields
 
 # Phrases that count as an instruction.
@@ -42,7 +43,7 @@ def poison_scores(rows: DataFrame, text: str = "text", phrases: tuple[str, ...]
     kept = rows.select(F.struct(*others).alias("row"), collapse(F.coalesce(F.col(text), F.lit(""))).alias("norm")) if others else rows.select(F.struct(F.lit(1).alias("x")).alias("row"), collapse(F.coalesce(F.col(text), F.lit(""))).alias("norm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "norm"):
             found, words, different, most = [], [], [], []
             for norm in batch.column("norm").to_pylist():
                 found.append([p for p in phrases if p in norm])

@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from corpusmill.functions import batches, chunking
+from corpusmill.functions import batches, chunking, scoring
 
 
 def test_slices_keep_all_rows_in_order(monkeypatch):
@@ -15,7 +15,7 @@ def test_slices_keep_all_rows_in_order(monkeypatch):
     assert parts == [["a" * 4, "b" * 5], ["é" * 5, None, ""], ["c" * 30], ["d", "e" * 9], ["f"]]
 
 
-@pytest.mark.parametrize("call, column", [(lambda d: chunking.chunk_documents(d), "text")])
+@pytest.mark.parametrize("call, column", [(lambda d: chunking.chunk_documents(d), "text"), (lambda d: scoring.poison_scores(d), "norm")])
 def test_workers_take_batches_in_slices(spark, monkeypatch, call, column):
     """The function that Spark gets is run here on one large batch; it passes on many."""
     seen = []
