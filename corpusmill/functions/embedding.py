@@ -25,6 +25,8 @@ FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 #: Letters and decimal digits; other numerals end a token.
 TOKEN = regex.compile(r"[\p{L}\p{Nd}]+")
 BATCH = 32
+#: Vectors that a worker holds before it passes them on.
+PASSED_ON = 32 * BATCH
 
 
 class Embedder(Protocol):
@@ -65,6 +67,21 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+class _Buckets(dict):
+    """The two buckets of each token as it stands in a text, computed when they are first asked for; starts anew when it is full."""
+
+    def __init__(self, dimensions: int, entries: int) -> None:
+        self.dimensions, self.entries = dimensions, entries
+
+    def __missing__(self, token: str) -> tuple[int, int]:
+        if len(self) >= self.entries:
+            self.clear()
+        low = token.lower() if token.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in token)
+        h = fnv1a(low.encode())
+        found = self[token] = ((h & 0xFFFFFFFF) % self.dimensions, (h >> 32) % self.dimensions)
+        return found
+
+
 class HashingEmbedder:
     """Feature hashing: each token adds one to two of 256 buckets, named by the halves of its hash; then unit length.
 
@@ -76,27 +93,18 @@ class HashingEmbedder:
     cache_entries = 200_000
 
     def __init__(self) -> None:
-        self._buckets: dict[str, tuple[int, int]] = {}
+        self._buckets = _Buckets(self.dimensions, self.cache_entries)
 
     def __getstate__(self) -> dict:
         return {}
 
     def __setstate__(self, _: dict) -> None:
-        self._buckets = {}
-
-    def _of(self, token: str) -> tuple[int, int]:
-        found = self._buckets.get(token)
-        if found is None:
-            if len(self._buckets) >= self.cache_entries:
-                self._buckets.clear()
-            h = fnv1a(token.encode())
-            found = self._buckets[token] = ((h & 0xFFFFFFFF) % self.dimensions, (h >> 32) % self.dimensions)
-        return found
+        self.__init__()
 
     def embed(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
+        out, buckets = [], self._buckets
         for text in texts:
-            at = [b for t in TOKEN.findall(text) for b in self._of("".join(c.lower() if len(c.lower()) == 1 else c for c in t) if not t.isascii() else t.lower())]
+            at = [b for t in TOKEN.findall(text) for b in buckets[t]]
             counts = np.bincount(at, minlength=self.dimensions).astype(np.float64) if at else np.zeros(self.dimensions)
             norm = np.sqrt((counts**2).sum())
             out.append((counts / norm if norm else counts).astype(np.float32))
@@ -121,11 +129,12 @@ def embed_rows(rows: DataFrame, embedder: Embedder, key: str, text: str, role: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            vectors = [v for at in range(0, len(texts), BATCH) for v in embedder.embed(texts[at : at + BATCH])]
-            n = len(vectors)
-            made = [pa.array([model] * n, pa.string()), pa.array([convention] * n, pa.string()), pa.array(vectors, pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *made], names=[key, "model", "convention", "vector"])
+            for low in range(0, batch.num_rows, PASSED_ON):
+                part = batch.slice(low, PASSED_ON)
+                n, texts = part.num_rows, part.column("text")
+                vectors = [v for at in range(0, n, BATCH) for v in embedder.embed(texts.slice(at, BATCH).to_pylist())]
+                made = [pa.array([model] * n, pa.string()), pa.array([convention] * n, pa.string()), pa.array(vectors, pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *made], names=[key, "model", "convention", "vector"])
 
     return source.mapInArrow(run, f"{key} {kind}, model string, convention string, vector array<float>")
 

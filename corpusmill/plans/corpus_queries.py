@@ -179,7 +179,7 @@ def hybrid_query(spark, sf_dir):
     wanted = embedding.embed_rows(asked, embedder, "query_id", "query", "query").select("query_id", "vector")
     named = chunks.join(docs, "document_id")
     hits = retrieval.retrieve(asked, named, vectors, wanted, retrieval.Request(k=5), index=_index(chunks))
-    return retrieval.assemble(hits, chunks, docs).select("query_id", "chunk_id", "document_id", "file_path", "chunk_index", "rank", F.round("score", 6).alias("score"))
+    return retrieval.assemble(written(hits, "hits"), chunks, docs).select("query_id", "chunk_id", "document_id", "file_path", "chunk_index", "rank", F.round("score", 6).alias("score"))
 
 
 GOLDEN = """g AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 50 = 0),
