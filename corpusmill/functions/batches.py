@@ -12,12 +12,18 @@ import pyarrow.compute as pc
 SLICE = 1 << 20
 
 
+def cut(batch: pa.RecordBatch, sizes: pa.Array, most: int, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """All rows in order, in slices whose sizes sum up to ``most`` at most, or one row; not more than ``rows`` rows."""
+    sizes = sizes.fill_null(0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        end = min(end, at + rows) if rows else end
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """All rows in order, in slices of at most ``SLICE`` bytes of the column ``text`` or one row."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
-        ends, at = np.cumsum(sizes, dtype=np.int64), 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + SLICE, "right")))
-            yield batch.slice(at, end - at)
-            at = end
+        yield from cut(batch, pc.binary_length(batch.column(text)), SLICE)
